@@ -1,0 +1,8 @@
+"""Streaming.
+
+The source system has no streams, watermarks or stateful operators: its only
+"stream" is a server-side database cursor, which is the JDBC ``fetchsize``
+of ``sources.extract``, and its incremental pull is a batch high-water
+filter (``sources.extract.incremental_filter`` / ``extract_partition``).
+Nothing here is needed to reproduce it; the package is kept for layout.
+"""
