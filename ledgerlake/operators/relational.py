@@ -59,14 +59,13 @@ def labelled_row(schema: StructType, values: dict[str, Column]) -> list[Column]:
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row relation beside every row of ``df``.
 
-    ``one_row`` must be a global aggregate (exactly one row by construction),
-    so broadcasting it is bounded whatever the data size.  The join is an
-    equi-join on a constant key: a broadcast hash join, no pairs are formed.
+    ``one_row`` must be a global aggregate (exactly one row by construction).
+    Each of its columns becomes an uncorrelated scalar subquery: Spark runs
+    it once (partial sums per partition, one row at the end) and hands the
+    value to every task as a literal.  No join, no pairs, nothing broadcast
+    but one value per column.
     """
-    k = "__scalar_key"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "inner")
-            .drop(k))
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def share_of_total(df: DataFrame, value: str, total: str, pct: str) -> DataFrame:
