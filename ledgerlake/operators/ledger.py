@@ -69,23 +69,27 @@ def with_supplier_name(df: DataFrame, supplier: DataFrame, key: str = "party",
 # Balances per party on accounts of one type
 # --------------------------------------------------------------------------
 
-def party_balance(gl_entry: DataFrame, account: DataFrame, supplier: DataFrame,
+def party_balance(gl_entry: DataFrame, account: DataFrame, supplier: DataFrame | None,
                   account_type: str = "Payable") -> DataFrame:
     """Per party, credits and debits on non-cancelled entries of the
-    account type, and credits - debits (exact decimals)."""
+    account type, and credits - debits (exact decimals).  The supplier name
+    is looked up on the aggregate (skipped when ``supplier`` is None)."""
     acc = accounts_of_type(account, account_type).select(F.col("name").alias("account"))
     rows = not_cancelled(gl_entry).join(acc, "account", "left_semi")
     per_party = rows.groupBy("party").agg(money_sum("credit").alias("supplier_invoices"),
                                           money_sum("debit").alias("supplier_payments"))
     per_party = per_party.withColumn("supplier_balances",
                                      F.col("supplier_invoices") - F.col("supplier_payments"))
+    if supplier is None:
+        return per_party
     return with_supplier_name(per_party, supplier).select(
         "party", "supplier_name", "supplier_invoices", "supplier_payments", "supplier_balances")
 
 
 def total_owed(gl_entry, account, supplier, account_type: str = "Payable") -> DataFrame:
-    """The sum of the positive party balances (one row, NULL if none)."""
-    bal = party_balance(gl_entry, account, supplier, account_type)
+    """The sum of the positive party balances (one row, NULL if none).
+    The names are not needed for the sum, so no lookup is made."""
+    bal = party_balance(gl_entry, account, None, account_type)
     return bal.where(F.col("supplier_balances") > 0).agg(as_double(F.sum("supplier_balances")).alias("total_owed"))
 
 

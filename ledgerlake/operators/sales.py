@@ -300,7 +300,9 @@ def densify_daily(cal: DataFrame, daily: DataFrame, value: str = "sales_dec") ->
         "posting_date", F.coalesce(F.col(value), F.lit(0)).alias(value))
 
 
-_RUN = Window.orderBy("posting_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+def _run():
+    """Running frame over the days of one month (SQL default RANGE frame)."""
+    return Window.orderBy("posting_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def target_tracker_active_days(sales_invoice: DataFrame, as_of, monthly_target=MONTHLY_TARGET) -> DataFrame:
@@ -311,8 +313,8 @@ def target_tracker_active_days(sales_invoice: DataFrame, as_of, monthly_target=M
     t = daily.select(
         "posting_date",
         as_double("sales_dec").alias("sales_today"),
-        as_double(F.sum("sales_dec").over(_RUN)).alias("cumulative_sales"),
-        (F.count(F.lit(1)).over(_RUN) * target).alias("sales_target_cumulative"))
+        as_double(F.sum("sales_dec").over(_run())).alias("cumulative_sales"),
+        (F.count(F.lit(1)).over(_run()) * target).alias("sales_target_cumulative"))
     deficit = F.col("sales_target_cumulative") - F.col("cumulative_sales")
     return t.select(
         "posting_date", "sales_today", "cumulative_sales", "sales_target_cumulative",
@@ -330,8 +332,8 @@ def target_tracker(sales_invoice: DataFrame, as_of, monthly_target=MONTHLY_TARGE
     t = daily.select(
         "posting_date",
         as_double("sales_dec").alias("sales_today"),
-        as_double(F.sum("sales_dec").over(_RUN)).alias("cumulative_sales"),
-        (F.count(F.lit(1)).over(_RUN) * target).alias("sales_target_cumulative"))
+        as_double(F.sum("sales_dec").over(_run())).alias("cumulative_sales"),
+        (F.count(F.lit(1)).over(_run()) * target).alias("sales_target_cumulative"))
     deficit = F.col("sales_target_cumulative") - F.col("cumulative_sales")
     as_of_c = as_date(as_of)
     remaining = F.datediff(month_end(as_of), as_of_c)
