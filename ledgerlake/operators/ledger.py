@@ -24,7 +24,7 @@ from pyspark.sql.types import DecimalType
 from ledgerlake.functions import as_double, date_in_period, money, money_sum, to_base_currency
 from ledgerlake.functions.dates import as_date
 from ledgerlake.functions.erp import PAYROLL_PARENT, PAYROLL_PATTERN
-from ledgerlake.operators.relational import group_by_constant
+from ledgerlake.operators.relational import agg_with_min_text, group_by_constant, min_text
 
 # Fixed values of the source reports.
 AGEING_BUCKETS = (("0-30", 0, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("91-120", 91, 120), ("121-Above", 121, None))
@@ -106,10 +106,11 @@ def supplier_payments(payment_entry: DataFrame, party_type: str = "Supplier") ->
 def unallocated_payments(payment_entry: DataFrame, party_type: str = "Supplier") -> DataFrame:
     """Per party, paid minus allocated over payments with a positive rest."""
     rest = F.col("base_paid_amount") - F.col("base_total_allocated_amount")
-    return (supplier_payments(payment_entry, party_type).where(rest > 0)
-            .groupBy(F.col("party").alias("supplier_id"))
-            .agg(F.min("party_name").alias("supplier_name"),
-                 as_double(money_sum(rest)).alias("total_unallocated_amount")))
+    rows = supplier_payments(payment_entry, party_type).where(rest > 0).select(
+        F.col("party").alias("supplier_id"), "party_name", rest.alias("rest"))
+    return agg_with_min_text(rows, ["supplier_id"], [as_double(money_sum("rest")).alias("total_unallocated_amount")],
+                             {"party_name": "supplier_name"}).select(
+        "supplier_id", "supplier_name", "total_unallocated_amount")
 
 
 def allocated_payment_rows(payment_entry_reference: DataFrame, payment_entry: DataFrame,
@@ -126,10 +127,10 @@ def allocated_payment_rows(payment_entry_reference: DataFrame, payment_entry: Da
 
 def allocated_payments(payment_entry_reference, payment_entry, party_type: str | None = "Supplier") -> DataFrame:
     """Per party, amounts of payments allocated to journal entries."""
-    return (allocated_payment_rows(payment_entry_reference, payment_entry, party_type)
-            .groupBy(F.col("party").alias("supplier_id"))
-            .agg(F.min("party_name").alias("supplier_name"),
-                 as_double(money_sum("allocated_amount")).alias("debits_allocated")))
+    rows = allocated_payment_rows(payment_entry_reference, payment_entry, party_type).withColumnRenamed(
+        "party", "supplier_id")
+    return agg_with_min_text(rows, ["supplier_id"], [as_double(money_sum("allocated_amount")).alias("debits_allocated")],
+                             {"party_name": "supplier_name"}).select("supplier_id", "supplier_name", "debits_allocated")
 
 
 def journal_payable_lines(journal_entry_account: DataFrame, journal_entry: DataFrame, account: DataFrame,
@@ -245,7 +246,6 @@ def payables_ageing(purchase_invoice, journal_entry_account, journal_entry, acco
     agg = rows.groupBy("supplier_id").agg(
         F.max("is_credit").alias("has_credit"),
         F.max("jl_credit").alias("has_journal_credit"),
-        F.min("inv_name").alias("inv_name"),
         *[F.sum(F.col(f"`{lab}`")).alias(lab) for lab in labels],
         F.sum("outstanding").alias("total_outstanding"),
         F.sum("debit").alias("total_debits"))
@@ -254,6 +254,10 @@ def payables_ageing(purchase_invoice, journal_entry_account, journal_entry, acco
     debits = F.when(F.col("supplier_id").isNotNull(), F.coalesce(F.col("total_debits"), _zero())).otherwise(_zero())
     balance = F.coalesce(F.col("total_outstanding"), _zero()) - debits
     credited = agg.where(F.col("has_credit"))
+    # invoice-side names: MIN over the distinct (supplier, name) pairs only
+    inv_names = min_text(credit_inv, ["supplier_id"], "inv_name")
+    credited = credited.join(inv_names, credited["supplier_id"].eqNullSafe(inv_names["supplier_id"]), "left").select(
+        credited["*"], inv_names["inv_name"])
     named = with_supplier_name(credited, supplier, key="supplier_id", out="journal_name")
     name = F.least(F.col("inv_name"), F.when(F.col("has_journal_credit"), F.col("journal_name")))
     return (named.select(
@@ -281,10 +285,10 @@ def payables_journal_draft(gl_entry, supplier, payment_entry_reference, payment_
     """R10 (draft): payments allocated to journal entries, negated, per
     party (any party type), stacked on the journal-voucher balance
     (credits - debits) per supplier party from the ledger."""
-    alloc = (allocated_payment_rows(payment_entry_reference, payment_entry, party_type=None)
-             .groupBy(F.col("party").alias("supplier_id"))
-             .agg(F.min("party_name").alias("supplier_name"),
-                  as_double(-money_sum("allocated_amount")).alias("sum_already_allocated")))
+    rows = allocated_payment_rows(payment_entry_reference, payment_entry, party_type=None).withColumnRenamed(
+        "party", "supplier_id")
+    alloc = agg_with_min_text(rows, ["supplier_id"], [as_double(-money_sum("allocated_amount")).alias("sum_already_allocated")],
+                              {"party_name": "supplier_name"}).select("supplier_id", "supplier_name", "sum_already_allocated")
     gl = (submitted(not_cancelled(gl_entry))
           .where((F.col("voucher_type") == "Journal Entry") & (F.col("party_type") == "Supplier"))
           .groupBy("party").agg(as_double(money_sum("credit") - money_sum("debit")).alias("balance")))
@@ -306,7 +310,9 @@ def party_currency_balance(gl_entry: DataFrame, party: str | None = None, by_cur
     bal = as_double(money_sum("debit_in_transaction_currency") - money_sum("credit_in_transaction_currency"))
     if by_currency:
         return rows.groupBy("party", "transaction_currency").agg(bal.alias("balance"))
-    return rows.groupBy("party").agg(F.min("transaction_currency").alias("transaction_currency"), bal.alias("balance"))
+    return agg_with_min_text(rows, ["party"], [bal.alias("balance")],
+                             {"transaction_currency": "transaction_currency"}).select(
+        "party", "transaction_currency", "balance")
 
 
 # --------------------------------------------------------------------------
@@ -482,7 +488,7 @@ def net_profit(gl_entry, account, start, end, company: str) -> DataFrame:
     of the source is a sum of sums, so it is folded into one aggregate."""
     rows = _pnl_rows(gl_entry, account, start, end)
     return rows.agg(
-        F.max(F.lit(company)).alias("company"),
+        F.when(F.count(F.lit(1)) > 0, F.lit(company)).alias("company"),
         F.lit("Net Profit").alias("Account"),
         as_double(F.sum("income") - F.sum("expense")).alias("Net_Profit"),
         F.lit("").alias("Account_type"))

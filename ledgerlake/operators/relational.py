@@ -2,7 +2,7 @@
 
 None of these moves a whole table through one task: totals are a global
 aggregate (partial sums per partition, one row at the end) attached to the
-detail through a broadcast of that single row.
+detail as a scalar subquery, and text MINs avoid sort-based aggregation.
 """
 
 from __future__ import annotations
@@ -97,3 +97,27 @@ def group_by_constant(df: DataFrame, name: str, label: str, *aggs: Column) -> Da
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)
+
+
+def min_text(df: DataFrame, keys: list[str], col: str, out: str | None = None) -> DataFrame:
+    """``MIN(text)`` per key, cheap on large inputs.
+
+    Spark's hash aggregation needs fixed-width buffers; a text MIN makes it
+    fall back to sort-based aggregation of every input row.  The distinct
+    (key, text) pairs are found with a hash aggregate instead (deduplicated
+    map-side, a handful per key) and only those few rows are min-aggregated."""
+    return df.select(*keys, col).distinct().groupBy(*keys).agg(F.min(col).alias(out or col))
+
+
+def agg_with_min_text(df: DataFrame, keys: list[str], aggs: list[Column],
+                      texts: dict[str, str]) -> DataFrame:
+    """``groupBy(keys).agg(*aggs, MIN(text) AS out ...)`` with the numeric
+    part as a hash aggregate and each text MIN via ``min_text``; both sides
+    are partitioned by the keys, so the join adds no exchange of raw rows."""
+    out = df.groupBy(*keys).agg(*aggs)
+    for col, alias in texts.items():
+        m = min_text(df, keys, col, alias)
+        # NULL keys form a group of their own, so match them null-safely
+        cond = [out[k].eqNullSafe(m[k]) for k in keys]
+        out = out.join(m, cond, "left").select(out["*"], m[alias])
+    return out

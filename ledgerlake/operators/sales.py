@@ -57,6 +57,14 @@ def _and(df: DataFrame, cond: Column | None) -> DataFrame:
     return df if cond is None else df.where(cond)
 
 
+def detail_order(key: str, *tiebreakers: str) -> list[Column]:
+    """ORDER BY ``key`` for detail rows, with tie-breakers.  A global sort
+    range-partitions on the sort key; one key value (an invoice or a day
+    holding a third of all rows) cannot be split across tasks unless later
+    keys vary inside it.  The order by ``key`` is unchanged."""
+    return [F.asc_nulls_first(key), *[F.asc_nulls_first(t) for t in tiebreakers]]
+
+
 # --------------------------------------------------------------------------
 # Revenue per day / per week
 # --------------------------------------------------------------------------
@@ -161,7 +169,8 @@ def itemwise_sales(sales_invoice_item: DataFrame, sales_invoice: DataFrame, deli
         F.col("base_rate").alias("rate_before_tax"), F.col("base_amount").alias("amount_before_tax"),
         "tax_per_item", rate_after.alias("rate_after_tax"),
         (rate_after * F.col("Quantity_in_UOM")).alias("amount_after_tax"),
-    ).orderBy(F.asc_nulls_first("sales_invoice_id"))
+    ).orderBy(*detail_order("sales_invoice_id", "item_code", "delivery_note_id", "sales_person_name",
+                            "Quantity_in_UOM"))
 
 
 # --------------------------------------------------------------------------

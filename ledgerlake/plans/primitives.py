@@ -17,6 +17,7 @@ from ledgerlake.functions.dates import as_date
 from ledgerlake.operators import ledger as L
 from ledgerlake.operators import sales as S
 from ledgerlake.operators.relational import (
+    agg_with_min_text,
     attach_scalar,
     group_by_constant,
     labelled_row,
@@ -434,8 +435,8 @@ def a_group_constant(v):
 @q("a_representative", f"""SELECT party, MIN(party_name) AS party_name, {dsum('base_paid_amount')} AS paid
 FROM "tabPayment Entry" WHERE docstatus = 1 GROUP BY party""")
 def a_representative(v):
-    return L.submitted(v.payment_entry).groupBy("party").agg(F.min("party_name").alias("party_name"),
-                                                             _d(fn.money_sum("base_paid_amount")).alias("paid"))
+    return agg_with_min_text(L.submitted(v.payment_entry), ["party"],
+                             [_d(fn.money_sum("base_paid_amount")).alias("paid")], {"party_name": "party_name"})
 
 
 # ---------------------------------------------------------------- 2.5 W1-W4
@@ -480,7 +481,9 @@ def w_running_sum_of_sum(v):
 
 @q("o_sort_asc", """SELECT name, posting_date, base_grand_total FROM "tabSales Invoice" ORDER BY posting_date ASC NULLS FIRST""")
 def o_sort_asc(v):
-    return v.sales_invoice.select("name", "posting_date", "base_grand_total").orderBy(F.asc_nulls_first("posting_date"))
+    # tie-breaker: a day holding a third of all invoices still splits across tasks
+    return v.sales_invoice.select("name", "posting_date", "base_grand_total").orderBy(
+        *S.detail_order("posting_date", "name"))
 
 
 @q("o_sort_desc", f"""SELECT customer, {dsum('base_grand_total')} AS total_sales FROM "tabSales Invoice" WHERE docstatus = 1

@@ -155,7 +155,8 @@ def extract_query(df: DataFrame, output_path: str, compression: str = DEFAULT_CO
     obs = Observation(f"extract_{uuid.uuid4().hex[:8]}")
     w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", compression)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        # per-write option: only the partitions present in df are replaced
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     w.parquet(output_path)
     rows = int(obs.get.get("rows", 0))
     if rows == 0:
@@ -192,13 +193,7 @@ def extract_partition(source: TableSource, table: str, output_dir: str, ds: str
     df = _where(source(table), where)
     if columns:
         df = df.select(*columns)
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        res = extract_query(df.withColumn("ds", F.lit(day)), partition_path(output_dir, table), partition_by=["ds"])
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    res = extract_query(df.withColumn("ds", F.lit(day)), partition_path(output_dir, table), partition_by=["ds"])
     return ExtractResult(f"{res.path}/ds={day}", res.rows)
 
 

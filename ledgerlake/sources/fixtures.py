@@ -117,8 +117,18 @@ def _holes(template: str) -> list[str]:
     return sorted({f for _, f, _, _ in string.Formatter().parse(template) if f})
 
 
+_RAW: dict[tuple[int, str], DataFrame] = {}
+
+
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A raw test table.  The DataFrame (not its data) is kept per session
+    and path: ``spark.read.parquet`` runs a footer-reading job to learn the
+    schema, which is wasted work when every query re-reads the same files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if key not in _RAW:
+        _RAW[key] = spark.read.parquet(path)
+    return _RAW[key]
 
 
 class ErpViews:
