@@ -16,6 +16,7 @@ from ledgerlake.sources.fixtures import with_oracle_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ORACLE_BODIES: dict[str, str] = {}   # the same statements without the derivation prefix
 
 # Report parameters for the test data (orders span 1995-01-01..2001-08-01).
 AS_OF = dt.date(1998, 7, 10)
@@ -32,6 +33,7 @@ def register(key: str, oracle: str | None = None):
         QUERIES[key] = fn
         if oracle is not None:
             ORACLES[key] = with_oracle_prefix(oracle)
+            ORACLE_BODIES[key] = oracle
         return fn
     return deco
 

@@ -120,24 +120,33 @@ def _holes(template: str) -> list[str]:
 _RAW: dict[tuple[int, str], DataFrame] = {}
 
 
-def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def raw_table(spark: SparkSession, sf_dir: str, name: str, suffix: str = ".parquet") -> DataFrame:
     """A raw test table.  The DataFrame (not its data) is kept per session
     and path: ``spark.read.parquet`` runs a footer-reading job to learn the
     schema, which is wasted work when every query re-reads the same files."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    path = f"{sf_dir.rstrip('/')}/{name}{suffix}"
     key = (id(spark._jsparkSession), path)
     if key not in _RAW:
         _RAW[key] = spark.read.parquet(path)
     return _RAW[key]
 
 
+# (session, test-data dir) -> folder holding the extracted ERP tables
+_EXTRACTED: dict[tuple[int, str], str] = {}
+
+
 class ErpViews:
-    """Lazily built ERP DataFrames for one test-data directory."""
+    """Lazily built ERP DataFrames for one test-data directory.
+
+    By default each ERP table is derived from the raw test tables inside
+    the query plan.  After ``extract_erp_tables`` it is read from the
+    extracted Parquet instead, as reports read the warehouse in production."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._extracted = _EXTRACTED.get((id(spark._jsparkSession), sf_dir))
 
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
@@ -145,11 +154,17 @@ class ErpViews:
             self._cache[key] = raw_table(self.spark, self.sf_dir, name)
         return self._cache[key]
 
+    def derived(self, table: str) -> DataFrame:
+        text = DERIVATIONS[table]
+        frames = {hole: self.raw(hole) for hole in _holes(text)}
+        return self.spark.sql(text, **frames)
+
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self._cache:
-            text = DERIVATIONS[table]
-            frames = {hole: self.raw(hole) for hole in _holes(text)}
-            self._cache[table] = self.spark.sql(text, **frames)
+            if self._extracted is not None:
+                self._cache[table] = raw_table(self.spark, self._extracted, _safe(table), suffix="")
+            else:
+                self._cache[table] = self.derived(table)
         return self._cache[table]
 
     # short names used by the plans
@@ -172,8 +187,39 @@ class ErpViews:
     gl_entry = cached_property(lambda self: self["tabGL Entry"])
 
 
-_QUOTED = re.compile(r'"([^"]+)"')
-_BARE = re.compile(r"\b(customers|products|channels|purchase_history|visit_history)\b")
+def _safe(table: str) -> str:
+    return table.replace(" ", "_").lower()
+
+
+def extract_erp_tables(spark: SparkSession, sf_dir: str, root: str, files: int | None = None,
+                       tables: list[str] | None = None) -> dict[str, int]:
+    """Write every derived ERP table to ``<root>/<table>`` as Parquet (the
+    extract step of the pipeline) and make ``ErpViews`` read from there.
+
+    Tables with a posting date are range-partitioned on it, so each file
+    covers a span of days and a period filter skips whole files by their
+    min/max statistics; the others are spread evenly.  Returns row counts."""
+    from ledgerlake.sources.extract import extract_query
+
+    n = files or spark.sparkContext.defaultParallelism
+    views = ErpViews(spark, sf_dir)
+    counts = {}
+    for table in tables or list(DERIVATIONS):
+        df = views.derived(table)
+        if "posting_date" in df.columns:
+            df = df.repartitionByRange(n, "posting_date").sortWithinPartitions("posting_date")
+        else:
+            df = df.repartition(n)
+        counts[table] = extract_query(df, f"{root.rstrip('/')}/{_safe(table)}").rows
+    _EXTRACTED[(id(spark._jsparkSession), sf_dir)] = root
+    return counts
+
+
+ERP_TABLES = [t for t in DERIVATIONS if t.startswith("tab")]
+
+
+def forget_extract(spark: SparkSession, sf_dir: str) -> None:
+    _EXTRACTED.pop((id(spark._jsparkSession), sf_dir), None)
 
 
 def oracle_prefix(body: str) -> str:

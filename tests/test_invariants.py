@@ -71,3 +71,20 @@ def test_net_profit_is_income_minus_expense(spark):
 def test_extract_round_trip_has_no_duplicates(spark, key):
     df = run(spark, key)
     assert df.count() == df.select("o_orderkey").distinct().count() > 0
+
+
+def test_reports_over_extracted_tables_match_the_oracle(spark):
+    """Warehouse mode (bench): the same reports over extracted ERP tables."""
+    from conftest import SMALL
+    from ledgerlake.sources.extract import scratch_path
+    from ledgerlake.sources.fixtures import ERP_TABLES, extract_erp_tables, forget_extract
+    from ledgerlake.testing import compare, duck_connection
+    counts = extract_erp_tables(spark, SMALL, scratch_path(spark, "t-erp"), tables=ERP_TABLES)
+    try:
+        assert counts["tabGL Entry"] > 0
+        con = duck_connection(SMALL)
+        for key in ("payables_ageing", "cash_flow", "target_tracker", "itemwise_sales", "to_deliver_by_order"):
+            rows, problems = compare(Q[key](spark, SMALL), con, E.oracle_sql()[key])
+            assert not problems, (key, problems)
+    finally:
+        forget_extract(spark, SMALL)
