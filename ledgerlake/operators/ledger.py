@@ -342,39 +342,36 @@ def payroll_suppliers(supplier: DataFrame, party_account: DataFrame, account: Da
         "supplier_id", "supplier_name", "party_account", "parent_account")
 
 
-def counterparty_lookup(customer: DataFrame, supplier: DataFrame, party_account: DataFrame,
-                        account: DataFrame, payroll_parent: str = PAYROLL_PARENT) -> DataFrame:
-    """One row per counterparty name: is it a customer, a supplier (with or
-    without a name), and how many payroll accounts it has, split into the
-    exact payroll parent and other payroll parents.
+def counterparty_flags(customer: DataFrame, supplier: DataFrame, party_account: DataFrame,
+                       account: DataFrame, payroll_parent: str = PAYROLL_PARENT) -> list[DataFrame]:
+    """Per counterparty name (``against``): is it a customer; is it a supplier
+    and does it have a name; how many payroll accounts it has, split into the
+    exact payroll parent and other payroll parents.  Each frame has one row
+    per name (``name`` is the key; payroll counts are aggregated first), so
+    joining them to ledger lines never repeats a line.
 
     The payroll counts replace a join that would repeat each payment once
-    per payroll account: a payment then adds ``credit * count`` to each
-    category, which is the same sum without materialising the copies."""
-    cust = customer.select(F.col("name"), F.lit(1).alias("is_customer"), F.lit(0).alias("is_supplier"),
-                           F.lit(0).alias("named_supplier"), F.lit(0).alias("n_salary"), F.lit(0).alias("n_other"))
-    supp = supplier.select(F.col("name"), F.lit(0).alias("is_customer"), F.lit(1).alias("is_supplier"),
-                           F.col("supplier_name").isNotNull().cast("int").alias("named_supplier"),
-                           F.lit(0).alias("n_salary"), F.lit(0).alias("n_other"))
+    per payroll account: a payment adds ``credit * count`` to each category,
+    the same sum without materialising the copies."""
+    cust = customer.select(F.col("name").alias("against"), F.lit(1).alias("is_customer"))
+    supp = supplier.select(F.col("name").alias("against"), F.lit(1).alias("is_supplier"),
+                           F.col("supplier_name").isNotNull().cast("int").alias("named_supplier"))
     acc = account.where(F.col("parent_account").like(PAYROLL_PATTERN)).select(
         F.col("name").alias("account"), "parent_account")
-    pay = party_account.join(acc, "account", "inner").select(
-        F.col("parent").alias("name"), F.lit(0).alias("is_customer"), F.lit(0).alias("is_supplier"),
-        F.lit(0).alias("named_supplier"),
-        (F.col("parent_account") == payroll_parent).cast("int").alias("n_salary"),
-        (F.col("parent_account") != payroll_parent).cast("int").alias("n_other"))
-    return (cust.unionByName(supp).unionByName(pay).where(F.col("name").isNotNull())
-            .groupBy("name").agg(F.max("is_customer").alias("is_customer"), F.max("is_supplier").alias("is_supplier"),
-                                 F.max("named_supplier").alias("named_supplier"),
-                                 F.sum("n_salary").alias("n_salary"), F.sum("n_other").alias("n_other")))
+    pay = (party_account.join(acc, "account", "inner").groupBy(F.col("parent").alias("against"))
+           .agg(F.sum((F.col("parent_account") == payroll_parent).cast("int")).alias("n_salary"),
+                F.sum((F.col("parent_account") != payroll_parent).cast("int")).alias("n_other")))
+    return [cust, supp, pay]
 
 
 def classified_cash(gl_entry, account, customer, supplier, party_account, start, end) -> DataFrame:
     """Cash lines of the period with their counterparty flags and one
-    boolean per cash-flow class (collection, payment out, other drawing)."""
-    lines = cash_lines(gl_entry, account, start, end)
-    cp = counterparty_lookup(customer, supplier, party_account, account).withColumnRenamed("name", "against")
-    j = lines.join(cp, "against", "left")
+    boolean per cash-flow class (collection, payment out, other drawing).
+    The three lookups join on the same key, so the lines are exchanged at
+    most once (or not at all when AQE broadcasts the small sides)."""
+    j = cash_lines(gl_entry, account, start, end)
+    for flags in counterparty_flags(customer, supplier, party_account, account):
+        j = j.join(flags, "against", "left")
     sub = F.col("voucher_subtype")
     is_cust = F.coalesce(F.col("is_customer"), F.lit(0)) == 1
     is_supp = F.coalesce(F.col("is_supplier"), F.lit(0)) == 1

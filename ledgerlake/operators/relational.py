@@ -106,7 +106,11 @@ def min_text(df: DataFrame, keys: list[str], col: str, out: str | None = None) -
     fall back to sort-based aggregation of every input row.  The distinct
     (key, text) pairs are found with a hash aggregate instead (deduplicated
     map-side, a handful per key) and only those few rows are min-aggregated."""
-    return df.select(*keys, col).distinct().groupBy(*keys).agg(F.min(col).alias(out or col))
+    pairs = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
+    # The MIN reads the pair count, so the optimizer cannot fold the dedup
+    # step back into a sort-based MIN over every input row (a MIN over a
+    # plain DISTINCT is rewritten that way).
+    return pairs.groupBy(*keys).agg(F.min(F.when(F.col("__n") > 0, F.col(col))).alias(out or col))
 
 
 def agg_with_min_text(df: DataFrame, keys: list[str], aggs: list[Column],

@@ -58,3 +58,14 @@ def test_party_names_are_joined_after_aggregation(spark):
     assert 0 <= join_at < agg_at
     assert "Join" not in Q["total_owed"](spark, MEDIUM)._jdf.queryExecution().optimizedPlan().toString().split(
         "Aggregate [party")[0]
+
+
+@pytest.mark.parametrize("key", ["customer_balance", "payables_ageing", "unallocated_payments", "a_representative"])
+def test_text_min_runs_on_deduplicated_pairs(spark, key):
+    p = plan(spark, key)
+    # a MIN over raw rows would be a sort-based partial aggregate on the scan;
+    # here every text MIN reads a hash-aggregated (key, text, count) set
+    for line in p.splitlines():
+        if "partial_min(" in line:
+            assert "CASE WHEN (__n#" in line, line
+    assert "functions=[partial_count(1)]" in p
