@@ -66,6 +66,6 @@ def test_text_min_runs_on_deduplicated_pairs(spark, key):
     # a MIN over raw rows would be a sort-based partial aggregate on the scan;
     # here every text MIN reads a hash-aggregated (key, text, count) set
     for line in p.splitlines():
-        if "partial_min(" in line:
+        if "SortAggregate" in line and "min(" in line:
             assert "CASE WHEN (__n#" in line, line
     assert "functions=[partial_count(1)]" in p
