@@ -44,6 +44,14 @@ def weekly_sales(spark, sf_dir):
     return S.weekly_sales(ErpViews(spark, sf_dir).sales_invoice)
 
 
+@register("weekly_sales_by_year", f"""
+SELECT CAST(year(posting_date) AS INTEGER) AS year_no, CAST(strftime(posting_date, '%U') AS INTEGER) AS week_no,
+       {dsum('base_grand_total')} AS total_weekly_sales
+FROM "tabSales Invoice" WHERE docstatus = 1 GROUP BY 1, 2""")
+def weekly_sales_by_year(spark, sf_dir):
+    return S.weekly_sales_by_year(ErpViews(spark, sf_dir).sales_invoice)
+
+
 _VEHICLE = """CASE WHEN dn.company_vehicle <> '' THEN dn.company_vehicle
             WHEN dn.customer_provided_vehicle <> '' THEN dn.customer_provided_vehicle
             WHEN dn.transporter_vehicle_number <> '' THEN dn.transporter_vehicle_number END"""

@@ -120,12 +120,16 @@ def _holes(template: str) -> list[str]:
 _RAW: dict[tuple[int, str], DataFrame] = {}
 
 
+def _session_id(spark: SparkSession) -> int:
+    return id(getattr(spark, "_jsparkSession", spark))
+
+
 def raw_table(spark: SparkSession, sf_dir: str, name: str, suffix: str = ".parquet") -> DataFrame:
     """A raw test table.  The DataFrame (not its data) is kept per session
     and path: ``spark.read.parquet`` runs a footer-reading job to learn the
     schema, which is wasted work when every query re-reads the same files."""
     path = f"{sf_dir.rstrip('/')}/{name}{suffix}"
-    key = (id(spark._jsparkSession), path)
+    key = (_session_id(spark), path)
     if key not in _RAW:
         _RAW[key] = spark.read.parquet(path)
     return _RAW[key]
@@ -146,7 +150,7 @@ class ErpViews:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
-        self._extracted = _EXTRACTED.get((id(spark._jsparkSession), sf_dir))
+        self._extracted = _EXTRACTED.get((_session_id(spark), sf_dir))
 
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
@@ -211,7 +215,7 @@ def extract_erp_tables(spark: SparkSession, sf_dir: str, root: str, files: int |
         else:
             df = df.repartition(n)
         counts[table] = extract_query(df, f"{root.rstrip('/')}/{_safe(table)}").rows
-    _EXTRACTED[(id(spark._jsparkSession), sf_dir)] = root
+    _EXTRACTED[(_session_id(spark), sf_dir)] = root
     return counts
 
 
@@ -219,7 +223,7 @@ ERP_TABLES = [t for t in DERIVATIONS if t.startswith("tab")]
 
 
 def forget_extract(spark: SparkSession, sf_dir: str) -> None:
-    _EXTRACTED.pop((id(spark._jsparkSession), sf_dir), None)
+    _EXTRACTED.pop((_session_id(spark), sf_dir), None)
 
 
 def oracle_prefix(body: str) -> str:
