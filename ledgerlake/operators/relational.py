@@ -125,3 +125,24 @@ def agg_with_min_text(df: DataFrame, keys: list[str], aggs: list[Column],
         cond = [out[k].eqNullSafe(m[k]) for k in keys]
         out = out.join(m, cond, "left").select(out["*"], m[alias])
     return out
+
+
+def detail_and_total(detail: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
+    """Detail rows and one grand-total row from a single aggregation,
+    ``GROUP BY GROUPING SETS ((keys), ())`` over the detail.
+
+    ``aggs`` re-aggregate detail columns (``F.sum("x")``, ``F.min("d")``,
+    ``F.round(F.sum("x"), 2)``); over the one row of a detail group they
+    return that row's value.  Computing the total as a separate aggregate of
+    the detail would evaluate the detail plan twice (the two branches prune
+    different columns, so Spark cannot reuse the exchange).  A NULL sentinel
+    row keeps the total row present for empty input, as an aggregate without
+    GROUP BY always returns one row.  Adds ``__total`` (boolean); key columns
+    are NULL on the total row."""
+    spark = detail.sparkSession
+    sentinel = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in detail.schema.fields],
+                                     F.lit(False).alias("__real"))
+    d = detail.withColumn("__real", F.lit(True)).unionByName(sentinel)
+    g = d.groupingSets([[*keys, "__real"], []], *keys, "__real").agg(F.grouping_id().alias("__gid"), *aggs)
+    return (g.where((F.col("__gid") != 0) | F.col("__real"))
+            .withColumn("__total", F.col("__gid") != 0).drop("__gid", "__real"))

@@ -39,7 +39,7 @@ from ledgerlake.functions import (
     week_sunday,
 )
 from ledgerlake.functions.dates import as_date
-from ledgerlake.operators.relational import attach_scalar, labelled_row, union_positional
+from ledgerlake.operators.relational import attach_scalar, detail_and_total, labelled_row, union_positional
 
 # Fixed values of the source reports.
 MONTHLY_TARGET = 135_000_000
@@ -226,28 +226,32 @@ def _round2(dec: Column) -> Column:
 def to_deliver_by_customer(sales_order, sales_order_item, sales_team, sales_invoice, company, customer,
                            as_of, days: int = 7, monthly_target=MONTHLY_TARGET, replay: bool = True) -> DataFrame:
     """Bags to deliver per customer and item, then three labelled rows:
-    the grand total, today's sales and the fixed daily target."""
+    the grand total, today's sales and the fixed daily target.  The detail
+    and its total come from one aggregation (``detail_and_total``)."""
     lines = open_order_lines(sales_order, sales_order_item, sales_team, as_of, days, replay=replay)
+    keys = ["customer_name", "item_code", "item_name"]
     # The input is a window of recent open lines, so a plain aggregate (sort
     # based, because of the text MIN) is cheaper than the dedup-and-join form.
-    detail = lines.groupBy("customer_name", "item_code", "item_name").agg(
+    detail = lines.groupBy(*keys).agg(
         F.min("sales_person").alias("sales_person"),
         _round2(money_sum("quantity_in_tonnes")).alias("tq"),
         money_sum("product_amount").alias("ta"))
+    both = detail_and_total(detail, keys, [F.min("sales_person").alias("sales_person"),
+                                           _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")])
     schema = StructType([StructField(n, StringType()) for n in
                          ("customer_name", "item_code", "item_name", "sales_person")]
                         + [StructField("total_quantity_tonnes", DoubleType()), StructField("total_amount", DoubleType())])
-    rows = detail.select("customer_name", "item_code", "item_name", "sales_person",
-                         as_double("tq").alias("total_quantity_tonnes"), as_double("ta").alias("total_amount"))
-    total = detail.agg(_round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")).select(
-        *labelled_row(schema, {"customer_name": F.lit("Potential Deliveries"),
-                               "total_quantity_tonnes": F.col("tq"), "total_amount": F.col("ta")}))
+    tot = F.col("__total")
+    rows = both.select(
+        F.when(tot, F.lit("Potential Deliveries")).otherwise(F.col("customer_name")).alias("customer_name"),
+        *[F.when(tot, F.lit("")).otherwise(F.col(c)).alias(c) for c in ("item_code", "item_name", "sales_person")],
+        as_double("tq").alias("total_quantity_tonnes"), as_double("ta").alias("total_amount"))
     today = sales_on_day(sales_invoice, company, customer, as_of).select(
         *labelled_row(schema, {"customer_name": F.lit("Sales Today"), "total_amount": F.col("amount")}))
     target = today.sparkSession.range(1).select(
         *labelled_row(schema, {"customer_name": F.lit("Sales Target"),
                                "total_amount": F.lit(monthly_target) / F.lit(TARGET_DAYS_FIXED)}))
-    return union_positional(rows, total, today, target)
+    return union_positional(rows, today, target)
 
 
 def to_deliver_by_order(sales_order, sales_order_item, sales_team, sales_invoice, company, customer,
@@ -255,31 +259,37 @@ def to_deliver_by_order(sales_order, sales_order_item, sales_team, sales_invoice
     """Bags to deliver per order and item with the order's age in days,
     then the totals, today's sales and the fixed daily target."""
     lines = open_order_lines(sales_order, sales_order_item, sales_team, as_of, days, replay=replay)
-    detail = lines.groupBy("sales_order_id", "customer_name", "item_code", "item_name").agg(
+    keys = ["sales_order_id", "customer_name", "item_code", "item_name"]
+    detail = lines.groupBy(*keys).agg(
         F.min("order_date").alias("order_date"),
         F.min("delivery_date").alias("delivery_date"),
-        F.min("sales_person").alias("sales_person"),   # recent lines only: see above
+        F.min("sales_person").alias("sales_person"),   # recent lines only: see R5
         _round2(money_sum("quantity_in_tonnes")).alias("tq"),
         money_sum("product_amount").alias("ta"))
+    both = detail_and_total(detail, keys, [
+        F.min("order_date").alias("order_date"), F.min("delivery_date").alias("delivery_date"),
+        F.min("sales_person").alias("sales_person"), _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")])
     schema = StructType([
         StructField("sales_order_id", StringType()), StructField("order_date", DateType()),
         StructField("delivery_date", DateType()), StructField("customer_name", StringType()),
         StructField("item_code", StringType()), StructField("item_name", StringType()),
         StructField("sales_person", StringType()), StructField("days_since_order_date", IntegerType()),
         StructField("total_quantity_tonnes", DoubleType()), StructField("total_amount", DoubleType())])
-    rows = detail.select(
-        "sales_order_id", "order_date", "delivery_date", "customer_name", "item_code", "item_name",
-        "sales_person", F.datediff(as_date(as_of), F.col("order_date")).alias("days_since_order_date"),
+    tot = F.col("__total")
+    rows = both.select(
+        F.when(tot, F.lit("TOTALS")).otherwise(F.col("sales_order_id")).alias("sales_order_id"),
+        F.when(~tot, F.col("order_date")).alias("order_date"),
+        F.when(~tot, F.col("delivery_date")).alias("delivery_date"),
+        *[F.when(tot, F.lit("")).otherwise(F.col(c)).alias(c)
+          for c in ("customer_name", "item_code", "item_name", "sales_person")],
+        F.when(~tot, F.datediff(as_date(as_of), F.col("order_date"))).alias("days_since_order_date"),
         as_double("tq").alias("total_quantity_tonnes"), as_double("ta").alias("total_amount"))
-    total = detail.agg(_round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")).select(
-        *labelled_row(schema, {"sales_order_id": F.lit("TOTALS"),
-                               "total_quantity_tonnes": F.col("tq"), "total_amount": F.col("ta")}))
     today = sales_on_day(sales_invoice, company, customer, as_of).select(
         *labelled_row(schema, {"sales_order_id": F.lit("Sales Today"), "total_amount": F.col("amount")}))
     target = today.sparkSession.range(1).select(
         *labelled_row(schema, {"sales_order_id": F.lit("Sales Target Today"),
                                "total_amount": F.lit(monthly_target) / F.lit(TARGET_DAYS_FIXED)}))
-    return union_positional(rows, total, today, target)
+    return union_positional(rows, today, target)
 
 
 # --------------------------------------------------------------------------

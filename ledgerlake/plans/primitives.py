@@ -19,6 +19,7 @@ from ledgerlake.operators import sales as S
 from ledgerlake.operators.relational import (
     agg_with_min_text,
     attach_scalar,
+    detail_and_total,
     group_by_constant,
     labelled_row,
     running_total,
@@ -413,10 +414,9 @@ def _per_customer_period(v):
 SELECT customer, CAST(amt AS DOUBLE) AS total FROM per
 UNION ALL SELECT 'TOTAL', CAST(ROUND(SUM(amt), 2) AS DOUBLE) FROM per""")
 def a_total_row(v):
-    per = _per_customer_period(v)
-    detail = per.select("customer", _d("amt").alias("total"))
-    total = per.agg(F.lit("TOTAL").alias("customer"), _d(F.round(F.sum("amt"), 2)).alias("total"))
-    return union_positional(detail, total)
+    both = detail_and_total(_per_customer_period(v), ["customer"], [F.round(F.sum("amt"), 2).alias("amt")])
+    return both.select(F.when(F.col("__total"), F.lit("TOTAL")).otherwise(F.col("customer")).alias("customer"),
+                       _d("amt").alias("total"))
 
 
 @q("a_group_constant", f"""SELECT 'Totals' AS label,

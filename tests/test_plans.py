@@ -69,3 +69,9 @@ def test_text_min_runs_on_deduplicated_pairs(spark, key):
         if "SortAggregate" in line and "min(" in line:
             assert "CASE WHEN (__n#" in line, line
     assert "functions=[partial_count(1)]" in p
+
+
+def test_to_deliver_reads_order_lines_once(spark):
+    p = plan(spark, "to_deliver_by_order")
+    assert p.count("lineitem.parquet") == 1        # detail and total share one aggregation
+    assert "Expand" in p

@@ -234,3 +234,23 @@ def test_party_balance_two_currencies(spark):
     assert [tuple(r) for r in one] == [("CUST-33", "KES", 14.0)]
     by = sorted(tuple(r) for r in L.party_currency_balance(gl, party="CUST-33", by_currency=True).collect())
     assert by == [("CUST-33", "KES", 10.0), ("CUST-33", "USD", 4.0)]
+
+
+def test_to_deliver_with_no_open_lines_keeps_the_total_row(spark):
+    so = spark.createDataFrame([("SO-1", dt.datetime(1990, 1, 1), D(1990, 1, 1), D(1990, 1, 15), "A", 1, 0.0, "x", "KES", 1.0)],
+                               "name string, creation timestamp_ntz, transaction_date date, delivery_date date, "
+                               "customer_name string, docstatus int, per_delivered double, status string, currency string, "
+                               "conversion_rate double")
+    soi = spark.createDataFrame([("SO-1", "I1", "Item", 0.025, 10.0, 0.0, 1.0, None)],
+                                "parent string, item_code string, item_name string, weight_per_unit double, qty double, "
+                                "delivered_qty double, rate double, item_tax_template string")
+    team = spark.createDataFrame([], "parent string, sales_person string")
+    si = spark.createDataFrame([("C1", "CO-1", AS_OF, 1, 50.0)],
+                               "customer string, company string, posting_date date, docstatus int, base_grand_total double")
+    company = spark.createDataFrame([("CO-1",)], "name string")
+    customer = spark.createDataFrame([("C1", "One")], "name string, customer_name string")
+    out = [tuple(r) for r in S.to_deliver_by_customer(so, soi, team, si, company, customer, AS_OF).collect()]
+    assert out == [("Potential Deliveries", "", "", "", None, None), ("Sales Today", "", "", "", None, 50.0),
+                   ("Sales Target", "", "", "", None, 135_000_000 / 31)]
+    by_order = S.to_deliver_by_order(so, soi, team, si, company, customer, AS_OF).collect()
+    assert [r["sales_order_id"] for r in by_order] == ["TOTALS", "Sales Today", "Sales Target Today"]
