@@ -100,3 +100,14 @@ def test_last_n_days_and_period(spark):
 
 def test_safe_table_name():
     assert safe_table_name("tabSales Invoice") == "tabsales_invoice"
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.integers(min_value=-5, max_value=400), min_size=20, max_size=300))
+def test_ageing_buckets_partition_non_negative_ages(spark, ages):
+    from ledgerlake.operators.ledger import AGEING_BUCKETS, bucket_columns
+    df = spark.createDataFrame([(a, 1.0) for a in ages], "age int, amt double")
+    got = df.select("age", *bucket_columns(F.col("age"), F.col("amt"))).collect()
+    for r in got:
+        hits = [b[0] for b in AGEING_BUCKETS if r[b[0]] != 0]
+        assert len(hits) == (1 if r["age"] >= 0 else 0), (r["age"], hits)
