@@ -22,7 +22,8 @@ INCREMENTAL_DS = "1998-07-01"
 
 
 def _ts(x: dt.datetime):
-    return F.lit(x).cast("timestamp_ntz")
+    # wall-clock literal built from text: independent of the session time zone
+    return F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _sql_ts(x: dt.datetime) -> str:

@@ -176,8 +176,10 @@ def extract_table(source: TableSource, table: str, output_path: str, columns: li
 
 
 def incremental_filter(ds: str, column: str = "modified") -> Column:
-    """Rows changed on or after the day (inclusive high-water mark)."""
-    return F.col(column) >= F.lit(ds).cast("timestamp")
+    """Rows changed on or after the day (inclusive high-water mark).
+    The bound is a wall-clock timestamp, like the source database's DATETIME
+    compared with a date string, so the session time zone does not move it."""
+    return F.col(column) >= F.lit(ds).cast("timestamp_ntz")
 
 
 def partition_path(output_dir: str, table: str) -> str:

@@ -35,7 +35,7 @@ def test_partition_rerun_replaces_only_its_day(spark):
 
 
 def test_extract_counts_rows_and_warns_on_empty(spark, caplog):
-    df = spark.range(10).withColumn("modified", F.lit(dt.datetime(2026, 7, 1)).cast("timestamp_ntz"))
+    df = spark.range(10).withColumn("modified", F.lit("2026-07-01 00:00:00").cast("timestamp_ntz"))
     res = X.extract_query(df, X.scratch_path(spark, "t_count"))
     assert res.rows == 10 and spark.read.parquet(res.path).count() == 10
     with caplog.at_level(logging.WARNING):
@@ -65,7 +65,7 @@ def test_check_pk_fk_columns(spark):
 
 def test_defaults_and_upsert_stamps(spark):
     old, now = dt.datetime(2020, 1, 1), dt.datetime(2026, 1, 1)
-    ts = lambda x: F.lit(x).cast("timestamp_ntz")
+    ts = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
     cur = I.apply_defaults(spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, "c", 3.0)], "k int, n string, p double"),
                            {"p": 0.0}, ts(old))
     assert sorted(r["p"] for r in cur.collect()) == [0.0, 1.0, 3.0]
