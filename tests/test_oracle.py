@@ -29,3 +29,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[:2] == ["supplier_id", "supplier_name"]
+
+
+@pytest.mark.parametrize("key", ["apply_defaults", "upsert_stamp", "apply_schema", "extract_incremental",
+                                 "target_tracker", "f_to_date"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, key):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows, problems = compare(QUERIES[key](spark, SMALL), con, ORACLES[key])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert not problems, problems
