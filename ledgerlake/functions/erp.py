@@ -65,10 +65,12 @@ def cap_to_truckload(qty, weight, currency, rules=TRUCKLOAD_RULES) -> Column:
 
 
 def line_tonnes(weight, bags) -> Column:
+    """Tonnes of a line, weight per bag times bags."""
     return _col(weight) * _col(bags)
 
 
 def line_value(bags, rate) -> Column:
+    """Value of a line, bags times the base-currency rate."""
     return _col(bags) * _col(rate)
 
 

@@ -7,8 +7,6 @@ detail as a scalar subquery, and text MINs avoid sort-based aggregation.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
@@ -26,19 +24,6 @@ def union_positional(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Give ``df`` the target schema by position.
-
-    A text column missing from ``df`` (``None`` in the select list) becomes
-    '' as in the source reports; any other type becomes a typed NULL, since
-    '' does not convert to a number or a date.
-    """
-    cols = []
-    for field, c in zip(schema.fields, df.columns + [None] * (len(schema) - len(df.columns))):
-        cols.append(_cast(F.col(c) if c is not None else None, field.dataType).alias(field.name))
-    return df.select(*cols)
-
-
 def _cast(c: Column | None, t: DataType) -> Column:
     if c is None:
         return F.lit("") if isinstance(t, StringType) else F.lit(None).cast(t)
@@ -68,14 +53,6 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
-def share_of_total(df: DataFrame, value: str, total: str, pct: str) -> DataFrame:
-    """``SUM(x) OVER ()`` and ``x / total * 100`` without an un-partitioned
-    window: the total is a global aggregate broadcast to each row."""
-    tot = df.agg(F.sum(value).alias(total))
-    return (attach_scalar(df, tot)
-            .withColumn(pct, F.try_divide(F.col(value), F.col(total)) * F.lit(100)))
-
-
 def running_total(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
     """Running SUM ordered by ``order`` with the SQL default frame (RANGE:
     peers share the value).  Meant for short series (days of a month), which
@@ -84,21 +61,12 @@ def running_total(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
     return df.withColumn(out, F.sum(value).over(w))
 
 
-def running_count(df: DataFrame, order: str, out: str) -> DataFrame:
-    w = Window.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.count(F.lit(1)).over(w))
-
-
 def group_by_constant(df: DataFrame, name: str, label: str, *aggs: Column) -> DataFrame:
     """``SELECT 'label' AS name, aggs FROM df GROUP BY name``: no row at all
     for empty input (a plain global ``agg`` would give one)."""
     return df.groupBy(F.lit(label).alias(name)).agg(*aggs)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, frames)
-
-
 def min_text(df: DataFrame, keys: list[str], col: str, out: str | None = None) -> DataFrame:
     """``MIN(text)`` per key, cheap on large inputs.
 

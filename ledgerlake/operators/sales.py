@@ -15,7 +15,6 @@ Scale notes
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,6 @@ from ledgerlake.functions import (
     days_in_month,
     first_non_blank,
     last_n_days,
-    money,
     money_sum,
     month_end,
     month_start,
@@ -39,6 +37,7 @@ from ledgerlake.functions import (
     week_sunday,
 )
 from ledgerlake.functions.dates import as_date
+from ledgerlake.functions.erp import line_tonnes, line_value
 from ledgerlake.operators.relational import attach_scalar, detail_and_total, labelled_row, union_positional
 
 # Fixed values of the source reports.
@@ -205,8 +204,8 @@ def open_order_lines(sales_order: DataFrame, sales_order_item: DataFrame, sales_
     rate = to_base_currency("rate", "currency", "conversion_rate")
     return lines.select(
         "customer_name", "sales_order_id", "order_date", "delivery_date", "sales_person", "item_code",
-        "item_name", (F.col("weight_per_unit") * bags).alias("quantity_in_tonnes"),
-        (bags * rate).alias("product_amount"))
+        "item_name", line_tonnes("weight_per_unit", bags).alias("quantity_in_tonnes"),
+        line_value(bags, rate).alias("product_amount"))
 
 
 def sales_on_day(sales_invoice: DataFrame, company: DataFrame, customer: DataFrame, as_of) -> DataFrame:
@@ -367,7 +366,3 @@ def target_tracker(sales_invoice: DataFrame, as_of, monthly_target=MONTHLY_TARGE
         F.when(F.col("posting_date") >= as_of_c, target + safe_divide(current, remaining))
         .otherwise(F.lit(None).cast("double")).alias("new_daily_sales_target"),
     ).orderBy(F.asc_nulls_first("posting_date"))
-
-
-def parse_date(x) -> dt.date:
-    return x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x))

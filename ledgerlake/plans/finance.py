@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import ledger as L
-from ledgerlake.plans.registry import AS_OF, COMPANY, END, START, dsum, msum, register, sql_date
+from ledgerlake.plans.registry import AS_OF, COMPANY, END, START, msum, register, sql_date
 from ledgerlake.sources.fixtures import ErpViews
 
 _PERIOD = f"BETWEEN {sql_date(START)} AND {sql_date(END)}"

@@ -14,6 +14,7 @@ from pyspark.sql.types import DateType, DoubleType, StringType, StructField, Str
 
 from ledgerlake import functions as fn
 from ledgerlake.functions.dates import as_date
+from ledgerlake.functions.erp import line_tonnes, line_value
 from ledgerlake.operators import ledger as L
 from ledgerlake.operators import sales as S
 from ledgerlake.operators.relational import (
@@ -23,7 +24,6 @@ from ledgerlake.operators.relational import (
     group_by_constant,
     labelled_row,
     running_total,
-    share_of_total,
     union_positional,
 )
 from ledgerlake.plans.registry import AS_OF, END, MONTHLY_TARGET, START, dsum, msum, register, sql_date
@@ -706,8 +706,8 @@ SELECT parent, item_code, weight_per_unit * ({_CAP}) AS quantity_in_tonnes,
 def line_tonnes_value(v):
     bags = fn.cap_to_truckload("remaining", "weight_per_unit", "currency")
     rate = fn.to_base_currency("rate", "currency", "conversion_rate")
-    return _so_lines(v).select("parent", "item_code", (F.col("weight_per_unit") * bags).alias("quantity_in_tonnes"),
-                               (bags * rate).alias("product_amount"))
+    return _so_lines(v).select("parent", "item_code", line_tonnes("weight_per_unit", bags).alias("quantity_in_tonnes"),
+                               line_value(bags, rate).alias("product_amount"))
 
 
 _OPEN_ORDER_LINES = f"""SELECT so.customer_name, so.name AS sales_order_id, CAST(so.creation AS DATE) AS order_date, so.delivery_date, st.sales_person,
