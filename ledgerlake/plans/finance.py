@@ -33,7 +33,9 @@ WITH {_PAYABLE_PARTIES}
 SELECT CAST(SUM(cr - dr) AS DOUBLE) AS total_owed FROM payable_parties WHERE cr - dr > 0""")
 def total_owed_named(spark, sf_dir):
     v = ErpViews(spark, sf_dir)
-    bal = L.party_balance(v.gl_entry, v.account, v.supplier)
+    # the named form groups by (party, name); with ``name`` unique per party
+    # that is the same groups, and the sum needs no name lookup
+    bal = L.party_balance(v.gl_entry, v.account, None)
     return bal.agg(L.as_double(F.sum(F.when(F.col("supplier_balances") > 0, F.col("supplier_balances"))))
                    .alias("total_owed"))
 
