@@ -254,3 +254,23 @@ def test_to_deliver_with_no_open_lines_keeps_the_total_row(spark):
                    ("Sales Target", "", "", "", None, 135_000_000 / 31)]
     by_order = S.to_deliver_by_order(so, soi, team, si, company, customer, AS_OF).collect()
     assert [r["sales_order_id"] for r in by_order] == ["TOTALS", "Sales Today", "Sales Target Today"]
+
+
+def test_journal_line_classes(spark, account):
+    je = spark.createDataFrame([("JE-1", 1, 0), ("JE-2", 1, 1)], "name string, docstatus int, is_system_generated int")
+    jea = spark.createDataFrame([
+        ("a", "JE-1", "SUP-A", "Supplier", "Creditors", 0.0, 10.0, None, None, 1),             # credit, no reference
+        ("b", "JE-1", "SUP-A", "Supplier", "Creditors", 0.0, 10.0, None, "R", 1),              # credit with a name only
+        ("c", "JE-1", "SUP-A", "Supplier", "Creditors", 5.0, 0.0, None, "R", 1),               # debit, no type: open
+        ("d", "JE-1", "SUP-A", "Supplier", "Creditors", 5.0, 0.0, "Journal Entry", "R", 1),    # debit allocated
+        ("e", "JE-1", "SUP-A", "Supplier", "Creditors", 5.0, 0.0, "Purchase Invoice", "R", 1), # debit to invoice
+        ("f", "JE-2", "SUP-A", "Supplier", "Creditors", 0.0, 10.0, None, None, 1),             # system made
+        ("g", "JE-1", "SUP-A", "Customer", "Creditors", 0.0, 10.0, None, None, 1),             # other party type
+        ("h", "JE-1", "SUP-A", "Supplier", "Bank KES", 0.0, 10.0, None, None, 1),              # not payable
+        ("i", "JE-1", "SUP-A", "Supplier", "Creditors", 3.0, 4.0, None, None, 1),              # both sides
+    ], "name string, parent string, party string, party_type string, account string, debit double, credit double, "
+       "reference_type string, reference_name string, docstatus int")
+    rows = {r["name"]: (r["is_credit"], r["is_debit_open"], r["is_debit_alloc"])
+            for r in L.journal_payable_lines(jea, je, account).collect()}
+    assert rows == {"a": (True, False, False), "b": (False, False, False), "c": (False, True, False),
+                    "d": (False, False, True), "e": (False, False, False), "i": (True, True, False)}
