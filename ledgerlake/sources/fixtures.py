@@ -211,7 +211,10 @@ def extract_erp_tables(spark: SparkSession, sf_dir: str, root: str, files: int |
     for table in tables or list(DERIVATIONS):
         df = views.derived(table)
         if "posting_date" in df.columns:
-            df = df.repartitionByRange(n, "posting_date").sortWithinPartitions("posting_date")
+            # ``name`` breaks ties so that one very busy day still splits
+            # across files; each file keeps a narrow posting-date range
+            order = ["posting_date"] + (["name"] if "name" in df.columns else [])
+            df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
         else:
             df = df.repartition(n)
         counts[table] = extract_query(df, f"{root.rstrip('/')}/{_safe(table)}").rows
