@@ -24,7 +24,7 @@ from pyspark.sql.types import DecimalType
 from ledgerlake.functions import as_double, date_in_period, money, money_sum, to_base_currency
 from ledgerlake.functions.dates import as_date
 from ledgerlake.functions.erp import PAYROLL_PARENT, PAYROLL_PATTERN
-from ledgerlake.operators.relational import agg_with_min_text, group_by_constant, min_text
+from ledgerlake.operators.relational import agg_with_min_text, group_by_constant
 
 # Fixed values of the source reports.
 AGEING_BUCKETS = (("0-30", 0, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("91-120", 91, 120), ("121-Above", 121, None))
@@ -208,8 +208,8 @@ def payables_ageing(purchase_invoice, journal_entry_account, journal_entry, acco
     journal entries.  A supplier with debits only is not listed.
 
     One pass: every source row is put in a common shape with class columns,
-    the union is aggregated once by supplier (partial sums before the
-    shuffle), and the names are looked up on the aggregate.
+    the union is aggregated by supplier (partial sums before the shuffle),
+    and the supplier names are looked up on the aggregate.
     """
     labels = [b[0] for b in buckets]
     zeros = [_zero().alias(lab) for lab in labels]
@@ -243,9 +243,19 @@ def payables_ageing(purchase_invoice, journal_entry_account, journal_entry, acco
         F.lit(False).alias("jl_credit"))
 
     rows = reduce(DataFrame.union, [credit_inv, journal, unalloc, alloc])
-    agg = rows.groupBy("supplier_id").agg(
+    # Two-step aggregate, one pass over the sources: first by (supplier,
+    # invoice name) with fixed-width buffers only (hash aggregation, partial
+    # sums before the shuffle), then by supplier, where the text MIN sees a
+    # handful of rows per supplier instead of every invoice.  Sums of exact
+    # decimal sums are the same sums.
+    by_name = rows.groupBy("supplier_id", "inv_name").agg(
+        F.max("is_credit").alias("is_credit"), F.max("jl_credit").alias("jl_credit"),
+        *[F.sum(F.col(f"`{lab}`")).alias(lab) for lab in labels],
+        F.sum("outstanding").alias("outstanding"), F.sum("debit").alias("debit"))
+    agg = by_name.groupBy("supplier_id").agg(
         F.max("is_credit").alias("has_credit"),
         F.max("jl_credit").alias("has_journal_credit"),
+        F.min("inv_name").alias("inv_name"),
         *[F.sum(F.col(f"`{lab}`")).alias(lab) for lab in labels],
         F.sum("outstanding").alias("total_outstanding"),
         F.sum("debit").alias("total_debits"))
@@ -254,10 +264,6 @@ def payables_ageing(purchase_invoice, journal_entry_account, journal_entry, acco
     debits = F.when(F.col("supplier_id").isNotNull(), F.coalesce(F.col("total_debits"), _zero())).otherwise(_zero())
     balance = F.coalesce(F.col("total_outstanding"), _zero()) - debits
     credited = agg.where(F.col("has_credit"))
-    # invoice-side names: MIN over the distinct (supplier, name) pairs only
-    inv_names = min_text(credit_inv, ["supplier_id"], "inv_name")
-    credited = credited.join(inv_names, credited["supplier_id"].eqNullSafe(inv_names["supplier_id"]), "left").select(
-        credited["*"], inv_names["inv_name"])
     named = with_supplier_name(credited, supplier, key="supplier_id", out="journal_name")
     name = F.least(F.col("inv_name"), F.when(F.col("has_journal_credit"), F.col("journal_name")))
     return (named.select(
