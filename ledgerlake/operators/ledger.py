@@ -24,7 +24,7 @@ from pyspark.sql.types import DecimalType
 from ledgerlake.functions import as_double, date_in_period, money, money_sum, to_base_currency
 from ledgerlake.functions.dates import as_date
 from ledgerlake.functions.erp import PAYROLL_PARENT, PAYROLL_PATTERN
-from ledgerlake.operators.relational import agg_with_min_text, group_by_constant
+from ledgerlake.operators.relational import group_by_constant, sums_with_min_text
 
 # Fixed values of the source reports.
 AGEING_BUCKETS = (("0-30", 0, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("91-120", 91, 120), ("121-Above", 121, None))
@@ -108,9 +108,8 @@ def unallocated_payments(payment_entry: DataFrame, party_type: str = "Supplier")
     rest = F.col("base_paid_amount") - F.col("base_total_allocated_amount")
     rows = supplier_payments(payment_entry, party_type).where(rest > 0).select(
         F.col("party").alias("supplier_id"), "party_name", rest.alias("rest"))
-    return agg_with_min_text(rows, ["supplier_id"], [as_double(money_sum("rest")).alias("total_unallocated_amount")],
-                             {"party_name": "supplier_name"}).select(
-        "supplier_id", "supplier_name", "total_unallocated_amount")
+    return sums_with_min_text(rows, ["supplier_id"], {"amt": money_sum("rest")}, "party_name", "supplier_name").select(
+        "supplier_id", "supplier_name", as_double("amt").alias("total_unallocated_amount"))
 
 
 def allocated_payment_rows(payment_entry_reference: DataFrame, payment_entry: DataFrame,
@@ -129,8 +128,9 @@ def allocated_payments(payment_entry_reference, payment_entry, party_type: str |
     """Per party, amounts of payments allocated to journal entries."""
     rows = allocated_payment_rows(payment_entry_reference, payment_entry, party_type).withColumnRenamed(
         "party", "supplier_id")
-    return agg_with_min_text(rows, ["supplier_id"], [as_double(money_sum("allocated_amount")).alias("debits_allocated")],
-                             {"party_name": "supplier_name"}).select("supplier_id", "supplier_name", "debits_allocated")
+    return sums_with_min_text(rows, ["supplier_id"], {"amt": money_sum("allocated_amount")}, "party_name",
+                              "supplier_name").select("supplier_id", "supplier_name",
+                                                      as_double("amt").alias("debits_allocated"))
 
 
 def journal_payable_lines(journal_entry_account: DataFrame, journal_entry: DataFrame, account: DataFrame,
@@ -293,8 +293,9 @@ def payables_journal_draft(gl_entry, supplier, payment_entry_reference, payment_
     (credits - debits) per supplier party from the ledger."""
     rows = allocated_payment_rows(payment_entry_reference, payment_entry, party_type=None).withColumnRenamed(
         "party", "supplier_id")
-    alloc = agg_with_min_text(rows, ["supplier_id"], [as_double(-money_sum("allocated_amount")).alias("sum_already_allocated")],
-                              {"party_name": "supplier_name"}).select("supplier_id", "supplier_name", "sum_already_allocated")
+    alloc = sums_with_min_text(rows, ["supplier_id"], {"amt": money_sum("allocated_amount")}, "party_name",
+                               "supplier_name").select("supplier_id", "supplier_name",
+                                                       as_double(-F.col("amt")).alias("sum_already_allocated"))
     gl = (submitted(not_cancelled(gl_entry))
           .where((F.col("voucher_type") == "Journal Entry") & (F.col("party_type") == "Supplier"))
           .groupBy("party").agg(as_double(money_sum("credit") - money_sum("debit")).alias("balance")))
@@ -316,9 +317,9 @@ def party_currency_balance(gl_entry: DataFrame, party: str | None = None, by_cur
     bal = as_double(money_sum("debit_in_transaction_currency") - money_sum("credit_in_transaction_currency"))
     if by_currency:
         return rows.groupBy("party", "transaction_currency").agg(bal.alias("balance"))
-    return agg_with_min_text(rows, ["party"], [bal.alias("balance")],
-                             {"transaction_currency": "transaction_currency"}).select(
-        "party", "transaction_currency", "balance")
+    sums = {"dr": money_sum("debit_in_transaction_currency"), "cr": money_sum("credit_in_transaction_currency")}
+    return sums_with_min_text(rows, ["party"], sums, "transaction_currency").select(
+        "party", "transaction_currency", as_double(F.col("dr") - F.col("cr")).alias("balance"))
 
 
 # --------------------------------------------------------------------------

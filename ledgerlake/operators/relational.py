@@ -2,7 +2,7 @@
 
 None of these moves a whole table through one task: totals are a global
 aggregate (partial sums per partition, one row at the end) attached to the
-detail as a scalar subquery, and text MINs avoid sort-based aggregation.
+detail as a scalar subquery, and text MINs only see pre-aggregated rows.
 """
 
 from __future__ import annotations
@@ -67,32 +67,18 @@ def group_by_constant(df: DataFrame, name: str, label: str, *aggs: Column) -> Da
     return df.groupBy(F.lit(label).alias(name)).agg(*aggs)
 
 
-def min_text(df: DataFrame, keys: list[str], col: str, out: str | None = None) -> DataFrame:
-    """``MIN(text)`` per key, cheap on large inputs.
+def sums_with_min_text(df: DataFrame, keys: list[str], sums: dict[str, Column], text: str,
+                       out: str | None = None) -> DataFrame:
+    """``GROUP BY keys``: the given sums and ``MIN(text)``, in one read.
 
     Spark's hash aggregation needs fixed-width buffers; a text MIN makes it
-    fall back to sort-based aggregation of every input row.  The distinct
-    (key, text) pairs are found with a hash aggregate instead (deduplicated
-    map-side, a handful per key) and only those few rows are min-aggregated."""
-    pairs = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-    # The MIN reads the pair count, so the optimizer cannot fold the dedup
-    # step back into a sort-based MIN over every input row (a MIN over a
-    # plain DISTINCT is rewritten that way).
-    return pairs.groupBy(*keys).agg(F.min(F.when(F.col("__n") > 0, F.col(col))).alias(out or col))
-
-
-def agg_with_min_text(df: DataFrame, keys: list[str], aggs: list[Column],
-                      texts: dict[str, str]) -> DataFrame:
-    """``groupBy(keys).agg(*aggs, MIN(text) AS out ...)`` with the numeric
-    part as a hash aggregate and each text MIN via ``min_text``; both sides
-    are partitioned by the keys, so the join adds no exchange of raw rows."""
-    out = df.groupBy(*keys).agg(*aggs)
-    for col, alias in texts.items():
-        m = min_text(df, keys, col, alias)
-        # NULL keys form a group of their own, so match them null-safely
-        cond = [out[k].eqNullSafe(m[k]) for k in keys]
-        out = out.join(m, cond, "left").select(out["*"], m[alias])
-    return out
+    fall back to sort-based aggregation of every input row.  So the rows are
+    first aggregated by (keys, text) with hash aggregation (partial sums
+    before the shuffle), then by keys: sums of those sums, and a text MIN
+    that sees only a handful of rows per key.  NULL keys group together in
+    both steps, as in SQL, and sums of exact decimal sums are the same sums."""
+    lower = df.groupBy(*keys, text).agg(*[c.alias(n) for n, c in sums.items()])
+    return lower.groupBy(*keys).agg(F.min(text).alias(out or text), *[F.sum(n).alias(n) for n in sums])
 
 
 def detail_and_total(detail: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:

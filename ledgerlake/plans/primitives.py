@@ -18,12 +18,12 @@ from ledgerlake.functions.erp import line_tonnes, line_value
 from ledgerlake.operators import ledger as L
 from ledgerlake.operators import sales as S
 from ledgerlake.operators.relational import (
-    agg_with_min_text,
     attach_scalar,
     detail_and_total,
     group_by_constant,
     labelled_row,
     running_total,
+    sums_with_min_text,
     union_positional,
 )
 from ledgerlake.plans.registry import AS_OF, END, MONTHLY_TARGET, START, dsum, msum, register, sql_date
@@ -435,8 +435,9 @@ def a_group_constant(v):
 @q("a_representative", f"""SELECT party, MIN(party_name) AS party_name, {dsum('base_paid_amount')} AS paid
 FROM "tabPayment Entry" WHERE docstatus = 1 GROUP BY party""")
 def a_representative(v):
-    return agg_with_min_text(L.submitted(v.payment_entry), ["party"],
-                             [_d(fn.money_sum("base_paid_amount")).alias("paid")], {"party_name": "party_name"})
+    out = sums_with_min_text(L.submitted(v.payment_entry), ["party"], {"paid": fn.money_sum("base_paid_amount")},
+                             "party_name")
+    return out.select("party", "party_name", _d("paid").alias("paid"))
 
 
 # ---------------------------------------------------------------- 2.5 W1-W4
