@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from ledgerlake.plans import catalog
 from ledgerlake.testing import compare, duck_connection
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
