@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import exact_dedup, simhash_dedup
+from ledgerlake.llm import bpe, exact_dedup, simhash_dedup
 from ledgerlake.llm.common import table
 
+BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -45,3 +48,11 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+@register("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, col = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE_VOCABULARY)
+    ids, text = F.col(col).getField("ids"), F.col(col).getField("decoded")
+    return docs.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
+                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
