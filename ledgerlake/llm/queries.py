@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, exact_dedup, simhash_dedup
-from ledgerlake.llm.common import table
+from ledgerlake.llm import bpe, decontaminate, exact_dedup, simhash_dedup
+from ledgerlake.llm.common import row_key, table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,3 +56,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, text = F.col(col).getField("ids"), F.col(col).getField("decoded")
     return docs.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
                        F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+@register("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
+    rows = docs.select("doc_id", row_key(docs, "doc_id", "text").alias("own_key"))
+    return (rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("row_key")), "left")
+            .select("doc_id", F.col("id").isNotNull().alias("contaminated"),
+                    F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+                    F.col("item_id").alias("best_item_id"), F.col("similarity").alias("best_similarity")))
