@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +10,17 @@ from pyspark.sql import functions as F
 
 from ledgerlake.session import checkpoint_dir
 
+# Where the package is installed.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # The white space of the contracts, [\x20\x09-\x0D].
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data directory; the workers of ``spark`` get this package on their path."""
+    paths = spark.sparkContext.environment
+    if ROOT not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, paths.get("PYTHONPATH", "")]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, decontaminate, exact_dedup, simhash_dedup
+from ledgerlake.llm import bpe, decontaminate, exact_dedup, simhash_dedup, toxicity
 from ledgerlake.llm.common import row_key, table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,3 +67,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.col("id").isNotNull().alias("contaminated"),
                     F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                     F.col("item_id").alias("best_item_id"), F.col("similarity").alias("best_similarity")))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, col = toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    out = F.col(col)
+    return judged.select("doc_id", out.getField("severity").alias("expected_severity"),
+                         out.getField("p_toxic").alias("p_toxic"), out.getField("grade").alias("grade"),
+                         out.getField("rejected").alias("rejected"))
