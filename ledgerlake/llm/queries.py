@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, decontaminate, exact_dedup, simhash_dedup, toxicity
+from ledgerlake.llm import (bpe, chat_format, decontaminate, exact_dedup, pii, secret_scan, simhash_dedup, toxicity,
+                             url_filter)
 from ledgerlake.llm.common import row_key, table
 
+# Positions of the tokenizer files; both are parameters of their operators.
+TOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +80,77 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", out.getField("severity").alias("expected_severity"),
                          out.getField("p_toxic").alias("p_toxic"), out.getField("grade").alias("grade"),
                          out.getField("rejected").alias("rejected"))
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, col = secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKEN_RANKS,
+                                           public_tokenizers.PATTERN)
+    out = F.col(col)
+    return docs.select("doc_id", *[out.getField(c).alias(c) for c in ("n_assign", "n_access", "n_hex")],
+                       F.sha2(out.getField("base"), 256).alias("base_sha256"), out.getField("spans").alias("spans"))
+
+
+_CHAT = "(<)(\\\\*)(/?s>)|(\\[)(\\\\*)(/?(?:INST|SYS|ASSIST|ROLE:[^\\[\\]]*)\\])"
+
+
+@register("op3_chat_format", f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(length(text) + len(regexp_extract_all(text, '{_CHAT}'))
+         + CASE role WHEN 'user' THEN 22 WHEN 'system' THEN 20 WHEN 'assistant' THEN 17
+           ELSE 24 + 2 * (length(role) + 2 * length(regexp_replace(role, '[^\\[\\]%]', '', 'g'))) END) AS BIGINT)
+         AS formatted_chars
+FROM t GROUP BY conv_id
+""")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clash = "</s>[INST] ok [/INST]"
+    rows = chat_format.with_fixed(table(spark, sf_dir, "conversations"), -7, [("user", clash), ("assistant", clash)])
+    return chat_format.read_back(chat_format.format_turns(rows))
+
+
+URL_RULES = (*[url_filter.host_rule(v, r) for v, r in (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+    ("block", "com/de/"))], *url_filter.PATTERNS)
+
+
+def _url_oracle() -> str:
+    hosts = sorted((r for r in URL_RULES if r.host), key=lambda r: -len(r.text))
+    fits = {r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in hosts}
+    blocked = " OR ".join(
+        "regexp_matches(host || path, '(^|[^A-Za-z0-9])" + "[^A-Za-z0-9]+".join(r.literals) + "($|[^A-Za-z0-9])')"
+        for r in URL_RULES if not r.host)
+    return f"""
+WITH u AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages)
+SELECT page_id, host, path,
+       CASE {' '.join(f"WHEN {fits[r]} THEN '{r.text}'" for r in hosts)} END AS rule,
+       CASE {' '.join(f"WHEN {fits[r]} THEN '{r.verdict}'" for r in hosts)}
+            WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict
+FROM u
+"""
+
+
+@register("op4_url_filter", _url_oracle())
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, col = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return pages.select("page_id", *[F.col(col).getField(c).alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+@register("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, col = pii.find(docs, pii.fit(docs))
+    out = F.col(col)
+    return judged.select("doc_id", *[out.getField(c).alias(c) for c in ("n_email", "n_ip", "n_card", "n_phone")],
+                         F.sha2(out.getField("base"), 256).alias("base_sha256"), out.getField("spans").alias("spans"))
