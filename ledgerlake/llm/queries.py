@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import (bpe, chat_format, decontaminate, exact_dedup, pii, secret_scan, simhash_dedup, toxicity,
-                             url_filter)
+from ledgerlake.llm import (bpe, chat_format, decontaminate, exact_dedup, html_extract, pii, secret_scan, simhash_dedup,
+                             toxicity, url_filter)
 from ledgerlake.llm.common import row_key, table
 
 # Positions of the tokenizer files; both are parameters of their operators.
@@ -154,3 +154,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.col(col)
     return judged.select("doc_id", *[out.getField(c).alias(c) for c in ("n_email", "n_ip", "n_card", "n_phone")],
                          F.sha2(out.getField("base"), 256).alias("base_sha256"), out.getField("spans").alias("spans"))
+
+
+@register("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, col = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.col(col)
+    return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
