@@ -13,7 +13,8 @@
    which the slots' text lies; elements that never hold an article (menus,
    footers, forms, ...) are told by their tag, role and class.
 4. A page's text is what it holds where the alignment puts the main slot,
-   without template nodes and without such elements.  Pages that the pattern
+   without template blocks and without such elements (a repeated word inside a
+   varying block belongs to its text).  Pages that the pattern
    does not cover, and hosts where nothing varies (a page alone, or copies of
    one page), are read by the same rule from their own tree.
 
@@ -369,7 +370,7 @@ def extract(source: str, pattern: str | None = None, counts: list[tuple[int, int
         matched = align(model[0], root)
         slot = matched.get(main.number)
         without = {matched[n].number for n in template if n in matched and matched[n].digest == model[n].digest
-                   and matched[n].mass and not matched[n].children}
+                   and matched[n].mass and not matched[n].children and matched[n].tag in BLOCK}
     if slot is None or slot.dropped:
         slot = main_slot(nodes, set())
     return "\n".join(blocks(slot, without))

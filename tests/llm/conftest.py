@@ -1,0 +1,27 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def write_tables(spark, tmp_path_factory):
+    """Writes DataFrames as the tables of a data directory and returns its path."""
+    def write(**tables):
+        folder = tmp_path_factory.mktemp("tables")
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}.parquet")
+        return str(folder)
+    return write
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """Rows (doc_id, text) with columns whose names clash with those that operators add."""
+    def make(rows):
+        return spark.createDataFrame(
+            [(i, t, "en", "s", None, "x") for i, t in rows],
+            "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    return make

@@ -1,0 +1,106 @@
+"""Secrets and personal data: base spans against the literal patterns, and what the methods add."""
+
+import random
+import re
+
+import public_tokenizers
+import pytest
+
+from ledgerlake.llm import pii, secret_scan
+
+
+def secrets(t):
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(
+        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A)
+        if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return [(a, e, secret_scan.KINDS[k]) for a, k, e in sorted(spans)]
+
+
+def personal(t):
+    def digits(x):
+        return re.sub("[^0-9]", "", x)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
+              if all(int(x) <= 255 for x in m[0].split("."))]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t)
+              if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    spans += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)
+              if 10 <= len(digits(m[0])) <= 15]
+    return [(a, e, pii.KINDS[k]) for a, k, e in sorted(spans)]
+
+
+@pytest.mark.parametrize("mine, want, parts", [
+    (secret_scan.formats, secrets, ["password", "API_KEY", "apikey", "token", "Secret", "=", ":", " ", "'", '"', "AKIA",
+                                    "ABCD1234EFGH", "deadbeef", "0123456789abcdef", "x", "é", "\n", "ſecret", "\u212aEY",
+                                    "Zz9+/_.=-", "secret="]),
+    (pii.formats, personal, ["a@b", ".c", "_d", "@", "1.2.3.4", "256", ".", "0", "00", "4111 1111 1111 1111",
+                             "4111111111111111", "+1 (555) 010-9999", "+", "-", " ", "555", "x", "é", "(", ")", "7",
+                             "12.34", "%"])])
+def test_formats_against_the_literal_patterns(mine, want, parts):
+    rng = random.Random(11)
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert mine(text) == want(text), repr(text)
+
+
+def test_long_texts_stay_linear():
+    for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" + "-" * 200_000,
+                 "token" + " " * 200_000, "f" * 200_000, "(" * 100_000, "[at]" * 50_000):
+        pii.candidates(text)
+        secret_scan.formats(text)
+
+
+def test_token_efficiency():
+    ranks = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
+    encoding = secret_scan.vocabulary(ranks, public_tokenizers.PATTERN)
+    assert secret_scan.is_random("q7Zx9Kd2Lw8Vt3Rb6Ny1Hc5Jm4", encoding)
+    for known in ("d41d8cd98f00b204e9800998ecf8427e", "550e8400-e29b-41d4-a716-446655440000",
+                  "internationalization", "12345678901234567890123", "version-2-of-the-document"):
+        assert not secret_scan.is_random(known, encoding)
+    text = 'see q7Zx9Kd2Lw8Vt3Rb6Ny1Hc5Jm4 and token = "q7Zx9Kd2Lw8Vt3Rb6Ny1Hc5Jm4"'
+    base, spans = secret_scan.scan(text, encoding)
+    assert [s[2] for s in base] == ["assign"] and [s[2] for s in spans] == ["random", "assign"]
+    assert secret_scan.scan("", encoding) == ([], [])
+
+
+def test_secret_frame(docs):
+    df, col = secret_scan.scan_documents(docs([(1, "AKIA" + "A" * 12), (1, "AKIA" + "A" * 12), (None, None)]),
+                                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = sorted((r["doc_id"] or 0, r[col]["n_access"], r[col]["spans"]) for r in df.collect())
+    assert got == [(0, 0, ""), (1, 1, "access:0:16"), (1, 1, "access:0:16")]
+
+
+def sentence(rng):
+    return " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(rng.randint(4, 9)))
+
+
+def test_the_model_adds_personal_numbers_and_keeps_plain_ones(docs):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        d = "".join(rng.choice("0123456789") for _ in range(10))
+        rows.append((i, f"{sentence(rng)} " + rng.choice([
+            f"call +1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"phone {d[:3]}-{d[3:6]}-{d[6:]}", f"mail a{d}@b.example",
+            f"order {d}", f"batch {d[:8]}", f"lot {d[:7]}"]) + f" {sentence(rng)}"))
+    model = pii.fit(docs(rows), sample_docs=300)
+    assert model.trees is not None
+    text = "lorem ipsum phone 555-010-4477 dolor order 8812345678 sit mail x@y.example"
+    base, spans = pii.detect(text, model)
+    assert [text[a:b] for a, b, _ in base] == ["x@y.example"]
+    assert "555-010-4477" in [text[a:b] for a, b, _ in spans]
+    assert "8812345678" not in [text[a:b] for a, b, _ in spans]
+    assert "x@y.example" not in pii.redact(text, spans)
+    frame, col = pii.find(docs([(1, text), (1, text), (None, None)]), model)
+    assert sorted(r[col]["n_email"] for r in frame.collect()) == [0, 1, 1]
+
+
+def test_without_examples_only_the_formats_count(docs):
+    model = pii.fit(docs([(1, "nothing here"), (2, None)]))
+    assert model.trees is None
+    assert pii.detect("call 555-010-4477 or +1 (555) 010-9999", model)[1] == [(21, 38, "phone")]
+    assert pii.fit(docs([]).limit(0)).trees is None
