@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _date(x) -> Column:
+def _date(x=None) -> Column:
+    """A date as a column; None is today."""
+    if x is None:
+        return F.current_date()
     if isinstance(x, Column):
         return x
     if isinstance(x, (dt.date, dt.datetime)):
@@ -48,14 +51,14 @@ def date_in_period(d, start, end) -> Column:
     return _col(d).between(_date(start), _date(end))
 
 
-def last_n_days(d, as_of, n: int, replay: bool = True) -> Column:
-    """``d >= as_of - n days``; with ``replay`` also ``d <= as_of``, which is
-    what the live report saw on that day (no later rows existed then)."""
+def last_n_days(d, as_of, n: int, replay: bool = False) -> Column:
+    """``d >= as_of - n days``, without an upper bound; ``replay`` adds
+    ``d <= as_of``, to rebuild what the live report saw on a past day."""
     cond = _col(d) >= F.date_sub(_date(as_of), n)
     if replay:
         cond = cond & (_col(d) <= _date(as_of))
     return cond
 
 
-def as_date(x) -> Column:
+def as_date(x=None) -> Column:
     return _date(x)

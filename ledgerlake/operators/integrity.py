@@ -8,6 +8,9 @@ collects a table, and key generation never funnels rows through one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -107,27 +110,41 @@ def apply_defaults(df: DataFrame, defaults: dict[str, object], load_ts: Column,
 
 
 def upsert_stamp(current: DataFrame, incoming: DataFrame, key: list[str], load_ts: Column,
-                 stamps=STAMPS) -> DataFrame:
+                 stamps=STAMPS, latest_by: Sequence[str] = ()) -> DataFrame:
     """S17 (update): merge a batch into the table by key.  New keys are
     inserted with both stamps = load time; existing keys take the incoming
     values, and ``updated_at`` moves only where a value really changed
-    (NULL-safe comparison).  Keys absent from the batch are kept.  One full
-    outer join on the key (a shuffle on both sides, skew split by AQE)."""
+    (NULL-safe comparison).  Keys absent from the batch are kept.
+
+    Columns that the batch does not mention keep their values (NULL on new
+    keys); columns that only the batch has are added.  Of batch rows that
+    repeat a key, the one with the greatest ``latest_by`` counts, ties and a
+    missing ``latest_by`` by the greatest values, so the result has one row
+    per key of either side.  Keys compare NULL-safe."""
+    created, updated = stamps
     values = [c for c in incoming.columns if c not in key and c not in stamps]
-    cur = current.select(*key, *[F.col(c).alias(f"__old_{c}") for c in values], *stamps,
-                         F.lit(True).alias("__in_table"))
-    new = incoming.select(*key, *values, F.lit(True).alias("__in_batch"))
-    j = cur.join(new, key, "full_outer")
+    kept = [c for c in current.columns if c not in key and c not in stamps and c not in values]
+    fields = list(dict.fromkeys([*latest_by, *values]))
+    rank = F.struct(*[F.col(c) for c in fields]) if fields else F.struct(F.lit(1))
+    batch = (incoming.groupBy(*key).agg(F.max(rank).alias("__b"), F.lit(True).alias("__in_batch"))
+             .select(*[F.col(c).alias(f"__key_{c}") for c in key], "__b", "__in_batch"))
+    batch = batch.select(*[f"__key_{c}" for c in key], "__in_batch",
+                         *[F.col("__b").getField(c).alias(f"__new_{c}") for c in values])
+    table = current.withColumn("__in_table", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in key])
+    j = table.join(batch, same, "full_outer")
+    in_batch, existed = F.col("__in_batch").isNotNull(), F.col("__in_table").isNotNull()
     changed = F.lit(False)
     for c in values:
-        changed = changed | ~F.col(c).eqNullSafe(F.col(f"__old_{c}"))
-    in_batch = F.col("__in_batch").isNotNull()
-    existed = F.col("__in_table").isNotNull()
-    cols = [*key]
+        old = F.col(c) if c in current.columns else F.lit(None)
+        changed = changed | ~F.col(f"__new_{c}").eqNullSafe(old)
+    cols = [F.when(existed, F.col(c)).otherwise(F.col(f"__key_{c}")).alias(c) for c in key]
     for c in values:
-        cols.append(F.when(in_batch, F.col(c)).otherwise(F.col(f"__old_{c}")).alias(c))
-    cols.append(F.when(existed, F.col("created_at")).otherwise(load_ts).alias("created_at"))
-    cols.append(F.when(in_batch & (~existed | changed), load_ts).otherwise(F.col("updated_at")).alias("updated_at"))
+        new = F.col(f"__new_{c}")
+        cols.append((F.when(in_batch, new).otherwise(F.col(c)) if c in current.columns else new).alias(c))
+    cols += [F.col(c) for c in kept]
+    cols.append(F.when(existed, F.col(created)).otherwise(load_ts).alias(created))
+    cols.append(F.when(in_batch & (~existed | changed), load_ts).otherwise(F.col(updated)).alias(updated))
     return j.select(*cols)
 
 
@@ -141,14 +158,19 @@ def assign_keys(df: DataFrame, natural_key: list[str], key: str, existing: DataF
     partitions before it (one small row per partition, broadcast).  The
     numbered frame is checkpointed to the shared checkpoint folder first, so
     the counts and the rows are the same data even if an executor is lost
-    and tasks are re-run.  No global window, no single task.
+    and tasks are re-run.  No global window, no single task.  Rows of equal
+    natural keys are numbered by a digest of the row.  The checkpoint lives as
+    long as the result may be read; ``spark.cleaner.referenceTracking.
+    cleanCheckpoints`` has Spark remove it afterwards.
     """
     from ledgerlake.session import checkpoint_dir
 
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *natural_key).sortWithinPartitions(*natural_key)
+    # the digest of the whole row lets a natural key that repeats often split
+    tie = F.xxhash64(*df.columns)
+    ranged = (df.repartitionByRange(n, *natural_key, tie).sortWithinPartitions(*natural_key, tie)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)

@@ -86,7 +86,7 @@ def party_balance(gl_entry: DataFrame, account: DataFrame, supplier: DataFrame |
         "party", "supplier_name", "supplier_invoices", "supplier_payments", "supplier_balances")
 
 
-def total_owed(gl_entry, account, supplier, account_type: str = "Payable") -> DataFrame:
+def total_owed(gl_entry, account, account_type: str = "Payable") -> DataFrame:
     """The sum of the positive party balances (one row, NULL if none).
     The names are not needed for the sum, so no lookup is made."""
     bal = party_balance(gl_entry, account, None, account_type)
@@ -166,11 +166,13 @@ def journal_class_sums(lines: DataFrame, supplier: DataFrame, flag: str, amount:
 # Payables ageing
 # --------------------------------------------------------------------------
 
-def open_invoices(purchase_invoice: DataFrame, as_of, settled=SETTLED_INVOICE_STATES) -> DataFrame:
+def open_invoices(purchase_invoice: DataFrame, as_of=None, settled=SETTLED_INVOICE_STATES) -> DataFrame:
     """Submitted, unsettled invoices already due on ``as_of``, in base
-    currency, with their age in days past the due date."""
+    currency, with their age in days past the due date.  The due-date bound
+    is on the raw column, so it reaches the scan."""
     age = F.datediff(as_date(as_of), F.col("due_date"))
-    return (submitted(purchase_invoice).where(~F.col("status").isin(*settled) & (age >= 0))
+    return (submitted(purchase_invoice).where(~F.col("status").isin(*settled)
+                                             & (F.col("due_date") <= as_date(as_of)))
             .select(F.col("supplier").alias("supplier_id"), "supplier_name",
                     to_base_currency("outstanding_amount", "party_account_currency", "conversion_rate").alias("amount"),
                     age.alias("age_days")))
@@ -371,31 +373,46 @@ def counterparty_flags(customer: DataFrame, supplier: DataFrame, party_account:
     return [cust, supp, pay]
 
 
-def classified_cash(gl_entry, account, customer, supplier, party_account, start, end) -> DataFrame:
-    """Cash lines of the period with their counterparty flags and one
-    boolean per cash-flow class (collection, payment out, other drawing).
-    The three lookups join on the same key, so the lines are exchanged at
-    most once (or not at all when AQE broadcasts the small sides)."""
-    j = cash_lines(gl_entry, account, start, end)
-    for flags in counterparty_flags(customer, supplier, party_account, account):
-        j = j.join(flags, "against", "left")
+def classified_cash(gl_entry, account, customer, supplier, party_account, start, end,
+                    collection_subtypes=COLLECTION_SUBTYPES, payment_subtypes=PAYMENT_SUBTYPES,
+                    transfer_subtypes=TRANSFER_SUBTYPES, own_banks=OWN_BANK_COUNTERPARTIES,
+                    payroll_parent: str = PAYROLL_PARENT) -> DataFrame:
+    """Cash of the period by (against, account, class), with the counterparty's
+    flags and one boolean per cash-flow class.
+
+    Lines are summed before the three lookups join on ``against``, so a
+    counterparty with a third of the ledger crosses as a few sums: a class is
+    decided by the line's own columns and the flags of its counterparty, which
+    are one row per name."""
     sub = F.col("voucher_subtype")
-    is_cust = F.coalesce(F.col("is_customer"), F.lit(0)) == 1
-    is_supp = F.coalesce(F.col("is_supplier"), F.lit(0)) == 1
-    named = F.coalesce(F.col("named_supplier"), F.lit(0)) == 1
+
+    def sure(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    lines = cash_lines(gl_entry, account, start, end).select(
+        "against", "account", "debit", "credit",
+        sure((F.col("debit") > 0) & sub.isin(*collection_subtypes)).alias("line_in"),
+        sure((F.col("credit") > 0) & sub.isin(*payment_subtypes)).alias("line_out"),
+        sure((F.col("credit") > 0) & ~sub.isin(*transfer_subtypes)
+             & ~F.col("against").isin(*own_banks)).alias("line_drawn"))
+    j = (lines.where(F.col("line_in") | F.col("line_out") | F.col("line_drawn"))
+         .groupBy("against", "account", "line_in", "line_out", "line_drawn")
+         .agg(money_sum("debit").alias("debit"), money_sum("credit").alias("credit")))
+    for flags in counterparty_flags(customer, supplier, party_account, account, payroll_parent):
+        j = j.join(flags, "against", "left")
     return j.select(
         "*",
-        ((F.col("debit") > 0) & sub.isin(*COLLECTION_SUBTYPES) & is_cust).alias("is_collection"),
-        ((F.col("credit") > 0) & sub.isin(*PAYMENT_SUBTYPES) & is_supp).alias("is_payment"),
-        ((F.col("credit") > 0) & ~sub.isin(*TRANSFER_SUBTYPES) & ~named
-         & ~F.col("against").isin(*OWN_BANK_COUNTERPARTIES)).alias("is_drawing"))
+        (F.col("line_in") & (F.coalesce("is_customer", F.lit(0)) == 1)).alias("is_collection"),
+        (F.col("line_out") & (F.coalesce("is_supplier", F.lit(0)) == 1)).alias("is_payment"),
+        (F.col("line_drawn") & (F.coalesce("named_supplier", F.lit(0)) != 1)).alias("is_drawing"))
 
 
-def cash_flow_amounts(gl_entry, account, customer, supplier, party_account, start, end) -> DataFrame:
+def cash_flow_amounts(gl_entry, account, customer, supplier, party_account, start, end, **options) -> DataFrame:
     """D23 (exact): (Cash_Flow_Category, account_name, amount DECIMAL) for
     collections by bank account, payments out by salary/supplier category
-    and other drawings by counterparty.  One ledger pass, one aggregate."""
-    c = classified_cash(gl_entry, account, customer, supplier, party_account, start, end).where(
+    and other drawings by counterparty.  One ledger pass; ``options`` are
+    those of ``classified_cash``."""
+    c = classified_cash(gl_entry, account, customer, supplier, party_account, start, end, **options).where(
         F.col("is_collection") | F.col("is_payment") | F.col("is_drawing"))
     n_sal = F.coalesce(F.col("n_salary"), F.lit(0))
     n_oth = F.coalesce(F.col("n_other"), F.lit(0))
@@ -406,25 +423,25 @@ def cash_flow_amounts(gl_entry, account, customer, supplier, party_account, star
                                      amount.cast(_DEC).alias("a")))
 
     entries = F.array(
-        entry(F.col("is_collection"), CAT_COLLECTIONS, F.col("account"), money("debit")),
-        entry(F.col("is_payment") & (n_sal > 0), CAT_OUTFLOW, F.lit("Salary Payment"), money("credit") * n_sal),
-        entry(F.col("is_payment") & (n_sup > 0), CAT_OUTFLOW, F.lit("Supplier Payment"), money("credit") * n_sup),
-        entry(F.col("is_drawing"), CAT_DRAWINGS, F.col("against"), money("credit")))
+        entry(F.col("is_collection"), CAT_COLLECTIONS, F.col("account"), F.col("debit")),
+        entry(F.col("is_payment") & (n_sal > 0), CAT_OUTFLOW, F.lit("Salary Payment"), F.col("credit") * n_sal),
+        entry(F.col("is_payment") & (n_sup > 0), CAT_OUTFLOW, F.lit("Supplier Payment"), F.col("credit") * n_sup),
+        entry(F.col("is_drawing"), CAT_DRAWINGS, F.col("against"), F.col("credit")))
     e = c.select(F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("e"))
     return (e.groupBy(F.col("e.c").alias("Cash_Flow_Category"), F.col("e.n").alias("account_name"))
             .agg(F.sum("e.a").alias("amount")))
 
 
-def cash_flow(gl_entry, account, customer, supplier, party_account, start, end) -> DataFrame:
+def cash_flow(gl_entry, account, customer, supplier, party_account, start, end, **options) -> DataFrame:
     """The flow-diagram edge table."""
-    return cash_flow_amounts(gl_entry, account, customer, supplier, party_account, start, end).select(
+    return cash_flow_amounts(gl_entry, account, customer, supplier, party_account, start, end, **options).select(
         "Cash_Flow_Category", "account_name", as_double("amount").alias("amount"))
 
 
-def cash_flow_totals(gl_entry, account, customer, supplier, party_account, start, end) -> DataFrame:
+def cash_flow_totals(gl_entry, account, customer, supplier, party_account, start, end, **options) -> DataFrame:
     """One labelled row with the three category totals (no row when
     the period has no cash flow at all)."""
-    flows = cash_flow_amounts(gl_entry, account, customer, supplier, party_account, start, end)
+    flows = cash_flow_amounts(gl_entry, account, customer, supplier, party_account, start, end, **options)
 
     def cat_sum(cat):
         return as_double(F.sum(F.when(F.col("Cash_Flow_Category") == cat, F.col("amount")).otherwise(_zero())))
@@ -435,35 +452,45 @@ def cash_flow_totals(gl_entry, account, customer, supplier, party_account, start
                              cat_sum(CAT_DRAWINGS).alias("other_drawings"))
 
 
-def cash_received(gl_entry, account, customer, start, end) -> DataFrame:
-    """Money in from customers per bank/cash account."""
+def cash_side(gl_entry, account, start, end, side: str, subtypes, skip_accounts=SKIPPED_BANK_ACCOUNTS) -> DataFrame:
+    """The period's bank and cash lines with an amount on ``side``
+    (``debit``: money in, ``credit``: money out) and one of the subtypes."""
+    if side not in ("debit", "credit"):
+        raise ValueError(f"side is debit or credit, not {side!r}")
+    return cash_lines(gl_entry, account, start, end, skip_accounts).where(
+        (F.col(side) > 0) & F.col("voucher_subtype").isin(*subtypes))
+
+
+def cash_received(gl_entry, account, customer, start, end, subtypes=COLLECTION_SUBTYPES) -> DataFrame:
+    """Money in from customers per bank/cash account.  Lines are summed
+    by (against, account) before the customer test."""
     cust = customer.select(F.col("name").alias("against"))
-    rows = (cash_lines(gl_entry, account, start, end)
-            .where((F.col("debit") > 0) & F.col("voucher_subtype").isin(*COLLECTION_SUBTYPES))
+    rows = (cash_side(gl_entry, account, start, end, "debit", subtypes)
+            .groupBy("against", "account").agg(money_sum("debit").alias("debit"))
             .join(cust, "against", "left_semi"))
-    return rows.groupBy(F.col("account").alias("account_name")).agg(as_double(money_sum("debit")).alias("money_in"))
+    return rows.groupBy(F.col("account").alias("account_name")).agg(as_double(F.sum("debit")).alias("money_in"))
 
 
-def cash_paid(gl_entry, account, supplier, start, end) -> DataFrame:
+def cash_paid(gl_entry, account, supplier, start, end, subtypes=PAYMENT_SUBTYPES) -> DataFrame:
     """Payment lines to suppliers from bank/cash accounts."""
     sp = supplier.select(F.col("name").alias("against"), "supplier_name")
-    rows = (cash_lines(gl_entry, account, start, end)
-            .where((F.col("credit") > 0) & F.col("voucher_subtype").isin(*PAYMENT_SUBTYPES))
-            .join(sp, "against", "inner"))
+    rows = cash_side(gl_entry, account, start, end, "credit", subtypes).join(sp, "against", "inner")
     return rows.select("posting_date", "account", "debit", "credit", "against", "party_type", "supplier_name",
                        "parent_account", "voucher_type", "voucher_no", "voucher_subtype",
                        "against_voucher_type", "against_voucher")
 
 
-def other_drawings(gl_entry, account, supplier, start, end) -> DataFrame:
+def other_drawings(gl_entry, account, supplier, start, end, transfer_subtypes=TRANSFER_SUBTYPES,
+                   own_banks=OWN_BANK_COUNTERPARTIES) -> DataFrame:
     """Cash out that is not an internal transfer, to a counterparty
-    that is not a (named) supplier nor the own bank, per counterparty."""
+    that is not a (named) supplier nor the own bank, per counterparty.  The
+    lines are summed per counterparty before the supplier test."""
     named = supplier.where(F.col("supplier_name").isNotNull()).select(F.col("name").alias("against"))
-    rows = (cash_lines(gl_entry, account, start, end)
-            .where((F.col("credit") > 0) & ~F.col("voucher_subtype").isin(*TRANSFER_SUBTYPES))
-            .join(named, "against", "left_anti")
-            .where(~F.col("against").isin(*OWN_BANK_COUNTERPARTIES)))
-    return rows.groupBy("against").agg(as_double(money_sum("credit")).alias("draw_amount"))
+    return (cash_lines(gl_entry, account, start, end)
+            .where((F.col("credit") > 0) & ~F.col("voucher_subtype").isin(*transfer_subtypes)
+                   & ~F.col("against").isin(*own_banks))
+            .groupBy("against").agg(as_double(money_sum("credit")).alias("draw_amount"))
+            .join(named, "against", "left_anti"))
 
 
 # --------------------------------------------------------------------------

@@ -38,7 +38,7 @@ from ledgerlake.functions import (
 )
 from ledgerlake.functions.dates import as_date
 from ledgerlake.functions.erp import line_tonnes, line_value
-from ledgerlake.operators.relational import attach_scalar, detail_and_total, labelled_row, union_positional
+from ledgerlake.operators.relational import attach_scalar, detail_and_total, labelled_row, sums_with_min_text, union_positional
 
 # Fixed values of the source reports.
 MONTHLY_TARGET = 135_000_000
@@ -178,7 +178,7 @@ def itemwise_sales(sales_invoice_item: DataFrame, sales_invoice: DataFrame, deli
 
 def open_order_lines(sales_order: DataFrame, sales_order_item: DataFrame, sales_team: DataFrame, as_of,
                      days: int, max_delivered: float = MAX_DELIVERED_PCT, closed=CLOSED_ORDER_STATES,
-                     skip_items=SKIPPED_ITEMS, replay: bool = True) -> DataFrame:
+                     skip_items=SKIPPED_ITEMS, replay: bool = False) -> DataFrame:
     """Lines of recent submitted orders that still have bags to deliver,
     with the truckload cap, base-currency rate, tonnes and value.
 
@@ -195,10 +195,9 @@ def open_order_lines(sales_order: DataFrame, sales_order_item: DataFrame, sales_
              .select(F.col("parent").alias("sales_order_id"), "item_code", "item_name", "weight_per_unit",
                      add_item_tax("rate", "item_tax_template").alias("rate"),
                      (F.col("qty") - F.col("delivered_qty")).alias("qty_to_deliver")))
-    # Only the team rows of qualifying orders are needed: filter the (large,
-    # polymorphic) team table by the order keys before it is exchanged.
-    team = (sales_team.select(F.col("parent").alias("sales_order_id"), "sales_person")
-            .join(orders.select("sales_order_id"), "sales_order_id", "left_semi"))
+    # The qualifying orders are read once: all three tables meet on the order
+    # key, so each is exchanged at most once and the joins share the exchange.
+    team = sales_team.select(F.col("parent").alias("sales_order_id"), "sales_person")
     lines = orders.join(items, "sales_order_id", "inner").join(team, "sales_order_id", "left")
     bags = cap_to_truckload("qty_to_deliver", "weight_per_unit", "currency")
     rate = to_base_currency("rate", "currency", "conversion_rate")
@@ -223,18 +222,14 @@ def _round2(dec: Column) -> Column:
 
 
 def to_deliver_by_customer(sales_order, sales_order_item, sales_team, sales_invoice, company, customer,
-                           as_of, days: int = 7, monthly_target=MONTHLY_TARGET, replay: bool = True) -> DataFrame:
+                           as_of=None, days: int = 7, monthly_target=MONTHLY_TARGET, replay: bool = False) -> DataFrame:
     """Bags to deliver per customer and item, then three labelled rows:
     the grand total, today's sales and the fixed daily target.  The detail
     and its total come from one aggregation (``detail_and_total``)."""
     lines = open_order_lines(sales_order, sales_order_item, sales_team, as_of, days, replay=replay)
     keys = ["customer_name", "item_code", "item_name"]
-    # The input is a window of recent open lines, so a plain aggregate (sort
-    # based, because of the text MIN) is cheaper than the dedup-and-join form.
-    detail = lines.groupBy(*keys).agg(
-        F.min("sales_person").alias("sales_person"),
-        _round2(money_sum("quantity_in_tonnes")).alias("tq"),
-        money_sum("product_amount").alias("ta"))
+    detail = sums_with_min_text(lines, keys, {"tq": money_sum("quantity_in_tonnes"), "ta": money_sum("product_amount")},
+                                "sales_person").withColumn("tq", _round2(F.col("tq")))
     both = detail_and_total(detail, keys, [F.min("sales_person").alias("sales_person"),
                                            _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")])
     schema = StructType([StructField(n, StringType()) for n in
@@ -254,17 +249,19 @@ def to_deliver_by_customer(sales_order, sales_order_item, sales_team, sales_invo
 
 
 def to_deliver_by_order(sales_order, sales_order_item, sales_team, sales_invoice, company, customer,
-                        as_of, days: int = 14, monthly_target=MONTHLY_TARGET, replay: bool = True) -> DataFrame:
+                        as_of=None, days: int = 14, monthly_target=MONTHLY_TARGET, replay: bool = False) -> DataFrame:
     """Bags to deliver per order and item with the order's age in days,
     then the totals, today's sales and the fixed daily target."""
     lines = open_order_lines(sales_order, sales_order_item, sales_team, as_of, days, replay=replay)
     keys = ["sales_order_id", "customer_name", "item_code", "item_name"]
-    detail = lines.groupBy(*keys).agg(
-        F.min("order_date").alias("order_date"),
-        F.min("delivery_date").alias("delivery_date"),
-        F.min("sales_person").alias("sales_person"),   # recent lines only: see R5
-        _round2(money_sum("quantity_in_tonnes")).alias("tq"),
-        money_sum("product_amount").alias("ta"))
+    # Hash aggregation first (see ``sums_with_min_text``): the text MIN then
+    # sees a few rows per key; the dates are the order's own, one per key.
+    parts = lines.groupBy(*keys, "sales_person").agg(
+        F.min("order_date").alias("order_date"), F.min("delivery_date").alias("delivery_date"),
+        money_sum("quantity_in_tonnes").alias("tq"), money_sum("product_amount").alias("ta"))
+    detail = parts.groupBy(*keys).agg(
+        F.min("order_date").alias("order_date"), F.min("delivery_date").alias("delivery_date"),
+        F.min("sales_person").alias("sales_person"), _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta"))
     both = detail_and_total(detail, keys, [
         F.min("order_date").alias("order_date"), F.min("delivery_date").alias("delivery_date"),
         F.min("sales_person").alias("sales_person"), _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")])

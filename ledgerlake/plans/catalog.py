@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlake.plans import sales  # noqa: F401
+from ledgerlake.plans import finance, primitives, sales, tables  # noqa: F401
 from ledgerlake.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-try:  # modules added as the build widens
-    from ledgerlake.plans import finance  # noqa: F401
-except ImportError:  # pragma: no cover
-    finance = None
-try:
-    from ledgerlake.plans import primitives  # noqa: F401
-except ImportError:  # pragma: no cover
-    primitives = None
-try:
-    from ledgerlake.plans import tables  # noqa: F401
-except ImportError:  # pragma: no cover
-    tables = None
-
 FLAGSHIP = "payables_ageing"
 
 
 def flagship(spark, sf_dir):
-    key = FLAGSHIP if FLAGSHIP in QUERIES else "daily_sales"
-    return QUERIES[key](spark, sf_dir)
+    return QUERIES[FLAGSHIP](spark, sf_dir)

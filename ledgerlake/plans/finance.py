@@ -25,7 +25,7 @@ positive AS (SELECT party, cr - dr AS bal FROM payable_parties WHERE cr - dr > 0
 SELECT CAST(SUM(bal) AS DOUBLE) AS total_owed FROM positive""")
 def total_owed(spark, sf_dir):
     v = ErpViews(spark, sf_dir)
-    return L.total_owed(v.gl_entry, v.account, v.supplier)
+    return L.total_owed(v.gl_entry, v.account)
 
 
 @register("total_owed_named", f"""

@@ -147,7 +147,7 @@ def p_current_month(v):
 
 
 @q("p_last_n_days", f"""SELECT name, transaction_date FROM "tabSales Order"
-  WHERE transaction_date BETWEEN {sql_date(AS_OF)} - 7 AND {sql_date(AS_OF)}""")
+  WHERE transaction_date >= {sql_date(AS_OF)} - 7""")
 def p_last_n_days(v):
     return v.sales_order.where(fn.last_n_days("transaction_date", AS_OF, 7)).select("name", "transaction_date")
 
@@ -725,7 +725,7 @@ JOIN (SELECT *, qty - delivered_qty AS r,
         CASE WHEN item_tax_template = 'Kenya Tax - NML' THEN ROUND(rate * 1.16, 2) ELSE rate END AS gross
       FROM "tabSales Order Item") soi ON soi.parent = so.name
 LEFT JOIN "tabSales Team" st ON st.parent = so.name
-WHERE so.docstatus = 1 AND so.per_delivered <= 60 AND so.transaction_date BETWEEN {sql_date(AS_OF)} - 14 AND {sql_date(AS_OF)}
+WHERE so.docstatus = 1 AND so.per_delivered <= 60 AND so.transaction_date >= {sql_date(AS_OF)} - 14
   AND so.status NOT IN ('Closed', 'Completed', 'On Hold') AND soi.item_code <> 'SRV-001' AND soi.r > 0"""
 
 

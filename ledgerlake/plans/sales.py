@@ -93,7 +93,7 @@ open_lines AS (
   JOIN "tabSales Order Item" soi ON soi.parent = so.name
   LEFT JOIN "tabSales Team" st ON st.parent = so.name
   WHERE so.docstatus = 1 AND so.per_delivered <= 60
-    AND CAST(so.transaction_date AS DATE) BETWEEN {sql_date(lo_d)} AND {sql_date(AS_OF)}
+    AND CAST(so.transaction_date AS DATE) >= {sql_date(lo_d)}
     AND so.status NOT IN ('Closed', 'Completed', 'On Hold')
     AND soi.item_code <> 'SRV-001' AND soi.qty - soi.delivered_qty > 0),
 capped AS (

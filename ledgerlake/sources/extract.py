@@ -1,20 +1,22 @@
 """Extract ERP tables to Parquet.
 
 The source is a database reached through Spark's JDBC source (parallel reads
-split on a numeric column) or, for tests and re-runs, a folder of Parquet
+by column ranges or predicates) or, for tests and re-runs, a folder of Parquet
 tables.  Writes go through Spark's committer: a failed job leaves no partial
 output, and a re-run of one day replaces only that day's partition.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import logging
-import os
+import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,40 +33,49 @@ DEFAULT_COMPRESSION = "snappy"
 # Connection options
 # --------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class DbConfig:
-    host: str
-    port: int = 3306
-    database: str = "erp"
-    user: str = "root"
-    password: str = ""
-    driver: str = "org.mariadb.jdbc.Driver"
-    scheme: str = "mariadb"
-
-    @classmethod
-    def from_env(cls, prefix: str = "ERP_DB_", env: Mapping[str, str] | None = None) -> "DbConfig":
-        """HOST, USER, PASSWORD are required; PORT and NAME optional."""
-        env = os.environ if env is None else env
-        return cls(host=env[f"{prefix}HOST"], port=int(env.get(f"{prefix}PORT", 3306)),
-                   database=env.get(f"{prefix}NAME", "erp"), user=env[f"{prefix}USER"],
-                   password=env[f"{prefix}PASSWORD"])
-
-    def url(self) -> str:
-        # credentials are passed as options, never inside the URL
-        return f"jdbc:{self.scheme}://{self.host}:{self.port}/{self.database}"
-
-    def jdbc_options(self, fetchsize: int = DEFAULT_FETCHSIZE) -> dict[str, str]:
-        return {"url": self.url(), "user": self.user, "password": self.password, "driver": self.driver,
-                "fetchsize": str(fetchsize)}
+def jdbc_options(settings: Mapping[str, str], fetchsize: int = DEFAULT_FETCHSIZE) -> dict[str, str]:
+    """Spark JDBC options for a MySQL-protocol server.
+
+    ``settings`` needs ``host``, ``database``, ``user`` and ``password``;
+    ``port`` and ``driver`` are optional.  Spark picks the SQL dialect by the
+    URL: only ``jdbc:mysql:`` quotes names with backticks (any other URL gets
+    double quotes, which these servers read as text).  The MariaDB connector
+    accepts that URL when it carries ``permitMysqlScheme``.  Credentials are
+    options, never part of the URL."""
+    missing = [k for k in ("host", "database", "user", "password") if not settings.get(k)]
+    if missing:
+        raise ValueError(f"connection settings lack {', '.join(missing)}")
+    return {
+        "url": f"jdbc:mysql://{settings['host']}:{settings.get('port', '3306')}/{settings['database']}"
+               "?permitMysqlScheme",
+        "driver": settings.get("driver", "org.mariadb.jdbc.Driver"),
+        "user": settings["user"], "password": settings["password"], "fetchsize": str(fetchsize),
+    }
 
 
 @dataclass(frozen=True)
-class Partitioning:
-    """Parallel JDBC read: ``num`` range-split tasks over a numeric column."""
+class RangeSplit:
+    """A parallel read: ``tasks`` ranges of a number, date or timestamp column."""
     column: str
-    lower: int
-    upper: int
-    num: int
+    lower: int | dt.date | dt.datetime
+    upper: int | dt.date | dt.datetime
+    tasks: int
+
+    def options(self) -> dict[str, str]:
+        return {"partitionColumn": self.column, "lowerBound": str(self.lower), "upperBound": str(self.upper),
+                "numPartitions": str(self.tasks)}
+
+
+def day_predicates(column: str, days: Sequence[dt.date]) -> list[str]:
+    """One predicate for each stretch between consecutive days, open at both
+    ends, NULLs in the first: together they hold every row exactly once."""
+    marks = sorted(days)
+    if not marks:
+        return ["1 = 1"]
+    name = f"`{column}`"
+    return [f"{name} < '{marks[0]}' OR {name} IS NULL",
+            *[f"{name} >= '{a}' AND {name} < '{b}'" for a, b in zip(marks, marks[1:])],
+            f"{name} >= '{marks[-1]}'"]
 
 
 # --------------------------------------------------------------------------
@@ -74,26 +85,45 @@ class Partitioning:
 TableSource = Callable[[str], DataFrame]
 
 
-def jdbc_source(spark: SparkSession, config: DbConfig, partitioning: Mapping[str, Partitioning] | None = None,
+def jdbc_source(spark: SparkSession, settings: Mapping[str, str],
+                splits: Mapping[str, RangeSplit | Sequence[str]] | None = None,
                 fetchsize: int = DEFAULT_FETCHSIZE) -> TableSource:
     """ERP tables over JDBC.  Column pruning and simple filters reach the
-    database; tables listed in ``partitioning`` are read by parallel tasks."""
-    parts = dict(partitioning or {})
+    database; tables named in ``splits`` are read by parallel tasks, by ranges
+    of a column or by one task for each predicate of a list.  Other tables
+    come through one connection."""
+    options = jdbc_options(settings, fetchsize)
 
     def read(table: str) -> DataFrame:
-        r = spark.read.format("jdbc").options(**config.jdbc_options(fetchsize)).option("dbtable", f"`{table}`")
-        p = parts.get(table)
-        if p is not None:
-            r = (r.option("partitionColumn", p.column).option("lowerBound", p.lower)
-                 .option("upperBound", p.upper).option("numPartitions", p.num))
-        return r.load()
+        split = (splits or {}).get(table)
+        if split is None or isinstance(split, RangeSplit):
+            more = split.options() if split else {}
+            return spark.read.format("jdbc").options(**options, dbtable=f"`{table}`", **more).load()
+        rest = {k: v for k, v in options.items() if k != "url"}
+        return spark.read.jdbc(options["url"], f"`{table}`", predicates=list(split), properties=rest)
     return read
 
 
-def parquet_source(spark: SparkSession, root: str) -> TableSource:
-    """ERP tables stored as ``<root>/<safe name>`` Parquet folders."""
+def parquet_source(spark: SparkSession, root: str, ds: str | None = None, key: str = "name",
+                   version: str = "modified") -> TableSource:
+    """ERP tables stored as ``<root>/<safe name>`` Parquet folders.
+
+    Where a folder holds daily extracts, ``ds`` reads that day alone; without
+    it each ``key`` gives its latest version (by ``version``, then day), so a
+    row that was extracted on several days comes back once.  Rows without a
+    key are all kept."""
     def read(table: str) -> DataFrame:
-        return spark.read.parquet(f"{root.rstrip('/')}/{safe_table_name(table)}")
+        df = spark.read.parquet(f"{root.rstrip('/')}/{safe_table_name(table)}")
+        if "ds" not in df.columns:
+            return df
+        if ds is not None:
+            return df.where(F.col("ds").cast("string") == ds).drop("ds")
+        if key not in df.columns:
+            raise ValueError(f"{table} holds daily extracts without {key!r}: name a day")
+        order = [F.col(c).desc_nulls_last() for c in (version, "ds") if c in df.columns]
+        newest = Window.partitionBy(key).orderBy(*order)
+        return (df.withColumn("__newest", F.row_number().over(newest))
+                .where((F.col("__newest") == 1) | F.col(key).isNull()).drop("__newest", "ds"))
     return read
 
 
@@ -106,11 +136,34 @@ def frame_source(frames: Mapping[str, DataFrame]) -> TableSource:
 # Query scans
 # --------------------------------------------------------------------------
 
-def scan_query_jdbc(spark: SparkSession, config: DbConfig, query: str,
-                    fetchsize: int = DEFAULT_FETCHSIZE) -> DataFrame:
-    """S2 over JDBC: the database runs ``query``; rows stream in
-    ``fetchsize`` batches (a server-side cursor)."""
-    return spark.read.format("jdbc").options(**config.jdbc_options(fetchsize)).option("query", query).load()
+def sql_literal(value: object) -> str:
+    """A value as a literal of a MySQL-protocol server."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float, decimal.Decimal)):
+        return str(value)
+    if isinstance(value, (str, dt.date)):
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "''") + "'"
+    raise TypeError(f"no literal for {type(value).__name__}")
+
+
+_MARKER = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|:([A-Za-z_]\w*)""", re.S)
+
+
+def bind(query: str, args: Mapping[str, object]) -> str:
+    """``query`` with its ``:name`` markers replaced by literals; quoted text
+    is left alone, and an unknown marker is an error."""
+    return _MARKER.sub(lambda m: sql_literal(args[m[1]]) if m[1] else m[0], query)
+
+
+def scan_query_jdbc(spark: SparkSession, settings: Mapping[str, str], query: str,
+                    args: Mapping[str, object] | None = None, fetchsize: int = DEFAULT_FETCHSIZE) -> DataFrame:
+    """S2/S3 over JDBC: the database runs ``query`` with its parameters bound;
+    rows stream in ``fetchsize`` batches through one connection."""
+    return (spark.read.format("jdbc").options(**jdbc_options(settings, fetchsize))
+            .option("query", bind(query, args) if args else query).load())
 
 
 def scan_query(spark: SparkSession, source: TableSource, tables: list[str], query: str,
@@ -189,14 +242,13 @@ def partition_path(output_dir: str, table: str) -> str:
 def extract_partition(source: TableSource, table: str, output_dir: str, ds: str | None = None,
                       where: str | Column | None = None, columns: list[str] | None = None) -> ExtractResult:
     """Write ``<output_dir>/<table>/ds=<ds>`` (``manual_run`` without a
-    day).  Dynamic partition overwrite replaces only that day, so re-running
-    a day is idempotent and other days are untouched."""
+    day).  The day's own folder is overwritten, so a re-run replaces exactly
+    that day, also when it now has no rows; other days are untouched."""
     day = ds or "manual_run"
     df = _where(source(table), where)
     if columns:
         df = df.select(*columns)
-    res = extract_query(df.withColumn("ds", F.lit(day)), partition_path(output_dir, table), partition_by=["ds"])
-    return ExtractResult(f"{res.path}/ds={day}", res.rows)
+    return extract_query(df, f"{partition_path(output_dir, table)}/ds={day}")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

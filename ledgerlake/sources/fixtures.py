@@ -117,45 +117,28 @@ def _holes(template: str) -> list[str]:
     return sorted({f for _, f, _, _ in string.Formatter().parse(template) if f})
 
 
-_RAW: dict[tuple[int, str], DataFrame] = {}
-
-
-def _session_id(spark: SparkSession) -> int:
-    return id(getattr(spark, "_jsparkSession", spark))
-
-
-def raw_table(spark: SparkSession, sf_dir: str, name: str, suffix: str = ".parquet") -> DataFrame:
-    """A raw test table.  The DataFrame (not its data) is kept per session
-    and path: ``spark.read.parquet`` runs a footer-reading job to learn the
-    schema, which is wasted work when every query re-reads the same files."""
-    path = f"{sf_dir.rstrip('/')}/{name}{suffix}"
-    key = (_session_id(spark), path)
-    if key not in _RAW:
-        _RAW[key] = spark.read.parquet(path)
-    return _RAW[key]
-
-
-# (session, test-data dir) -> folder holding the extracted ERP tables
-_EXTRACTED: dict[tuple[int, str], str] = {}
+# A data directory of this form names a folder of extracted ERP tables.
+EXTRACT_PREFIX = "erp:"
 
 
 class ErpViews:
     """Lazily built ERP DataFrames for one test-data directory.
 
-    By default each ERP table is derived from the raw test tables inside
-    the query plan.  After ``extract_erp_tables`` it is read from the
-    extracted Parquet instead, as reports read the warehouse in production."""
+    Each ERP table is derived from the raw test tables inside the query plan.
+    Where the directory is ``erp:<root>`` it is read from the tables that
+    ``extract_erp_tables`` wrote to ``root``, as reports read the warehouse in
+    production.  Frames are kept for the life of this object only."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
-        self._extracted = _EXTRACTED.get((_session_id(spark), sf_dir))
+        self._extracted = sf_dir[len(EXTRACT_PREFIX):] if sf_dir.startswith(EXTRACT_PREFIX) else None
 
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
         if key not in self._cache:
-            self._cache[key] = raw_table(self.spark, self.sf_dir, name)
+            self._cache[key] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
         return self._cache[key]
 
     def derived(self, table: str) -> DataFrame:
@@ -166,7 +149,7 @@ class ErpViews:
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self._cache:
             if self._extracted is not None:
-                self._cache[table] = raw_table(self.spark, self._extracted, _safe(table), suffix="")
+                self._cache[table] = self.spark.read.parquet(f"{self._extracted.rstrip('/')}/{_safe(table)}")
             else:
                 self._cache[table] = self.derived(table)
         return self._cache[table]
@@ -198,7 +181,7 @@ def _safe(table: str) -> str:
 def extract_erp_tables(spark: SparkSession, sf_dir: str, root: str, files: int | None = None,
                        tables: list[str] | None = None) -> dict[str, int]:
     """Write every derived ERP table to ``<root>/<table>`` as Parquet (the
-    extract step of the pipeline) and make ``ErpViews`` read from there.
+    extract step of the pipeline); ``ErpViews(spark, "erp:" + root)`` reads them.
 
     Tables with a posting date are range-partitioned on it, so each file
     covers a span of days and a period filter skips whole files by their
@@ -218,17 +201,12 @@ def extract_erp_tables(spark: SparkSession, sf_dir: str, root: str, files: int |
         else:
             df = df.repartition(n)
         counts[table] = extract_query(df, f"{root.rstrip('/')}/{_safe(table)}").rows
-    _EXTRACTED[(_session_id(spark), sf_dir)] = root
     return counts
 
 
 ERP_TABLES = [t for t in DERIVATIONS if t.startswith("tab")]
 
 
-def forget_extract(spark: SparkSession, sf_dir: str) -> None:
-    _EXTRACTED.pop((_session_id(spark), sf_dir), None)
-
-
 def oracle_prefix(body: str) -> str:
     """DuckDB ``WITH`` clause holding the derivations a query body names.
 

@@ -5,10 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
 from conftest import MEDIUM
+from ledgerlake.plans import catalog
 
-Q = E.queries()
+Q = catalog.QUERIES
 
 
 def run(spark, key):
@@ -77,14 +77,12 @@ def test_reports_over_extracted_tables_match_the_oracle(spark):
     """Warehouse mode (bench): the same reports over extracted ERP tables."""
     from conftest import SMALL
     from ledgerlake.sources.extract import scratch_path
-    from ledgerlake.sources.fixtures import ERP_TABLES, extract_erp_tables, forget_extract
+    from ledgerlake.sources.fixtures import ERP_TABLES, extract_erp_tables
     from ledgerlake.testing import compare, duck_connection
-    counts = extract_erp_tables(spark, SMALL, scratch_path(spark, "t-erp"), tables=ERP_TABLES)
-    try:
-        assert counts["tabGL Entry"] > 0
-        con = duck_connection(SMALL)
-        for key in ("payables_ageing", "cash_flow", "target_tracker", "itemwise_sales", "to_deliver_by_order"):
-            rows, problems = compare(Q[key](spark, SMALL), con, E.oracle_sql()[key])
-            assert not problems, (key, problems)
-    finally:
-        forget_extract(spark, SMALL)
+    root = scratch_path(spark, "t-erp")
+    counts = extract_erp_tables(spark, SMALL, root, tables=ERP_TABLES)
+    assert counts["tabGL Entry"] > 0
+    con = duck_connection(SMALL)
+    for key in ("payables_ageing", "cash_flow", "target_tracker", "itemwise_sales", "to_deliver_by_order"):
+        rows, problems = compare(Q[key](spark, "erp:" + root), con, catalog.ORACLES[key])
+        assert not problems, (key, problems)

@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import MEDIUM
+from ledgerlake.plans import catalog
 
-Q = E.queries()
+Q = catalog.QUERIES
 
 
 def plan(spark, key) -> str:
@@ -73,6 +73,38 @@ def test_text_min_runs_on_deduplicated_pairs(spark, key):
             assert "HashAggregate" in below, (line.strip()[:80], below.strip()[:80])
 
 
+def test_due_date_bound_reaches_the_scan(spark, tmp_path):
+    from ledgerlake.operators import ledger as L
+    from ledgerlake.sources.fixtures import ErpViews
+    ErpViews(spark, MEDIUM).purchase_invoice.write.parquet(str(tmp_path / "pi"))
+    limit = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")     # else the filter list is cut off
+    try:
+        p = L.open_invoices(spark.read.parquet(str(tmp_path / "pi")), "1998-07-10")
+        text = p._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", limit)
+    pushed = [ln for ln in text.splitlines() if "PushedFilters" in ln]
+    assert pushed and "LessThanOrEqual(due_date,1998-07-10)" in pushed[0]
+
+
+@pytest.mark.parametrize("key, join", [("cash_flow", "Join LeftOuter"), ("cash_flow_totals", "Join LeftOuter"),
+                                       ("other_drawings", "Join LeftAnti"), ("cash_received", "Join LeftSemi")])
+def test_cash_is_summed_before_the_counterparty_lookups(spark, key, join):
+    # With a broadcast lookup no line is exchanged by counterparty (and Spark may test the lines
+    # first); the hot counterparty matters where the lookup is too large for that.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = Q[key](spark, MEDIUM)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # tree strings print parents first: below every lookup join there is an aggregate by counterparty
+    joins = [i for i, ln in enumerate(p) if join in ln and "against" in ln]
+    assert joins
+    assert all(any("Aggregate [against" in ln for ln in p[i:]) for i in joins)
+
+
 def test_to_deliver_reads_order_lines_once(spark):
     p = plan(spark, "to_deliver_by_order")
     assert p.count("lineitem.parquet") == 1        # detail and total share one aggregation

@@ -10,14 +10,57 @@ from ledgerlake.operators import integrity as I
 from ledgerlake.sources import extract as X
 
 
-def test_db_config_from_env_keeps_password_out_of_url():
-    env = {"ERP_DB_HOST": "db", "ERP_DB_USER": "u", "ERP_DB_PASSWORD": "secret", "ERP_DB_NAME": "erp1"}
-    cfg = X.DbConfig.from_env(env=env)
-    assert cfg.port == 3306 and cfg.url() == "jdbc:mariadb://db:3306/erp1"
-    opts = cfg.jdbc_options()
+SETTINGS = {"host": "db", "user": "u", "password": "secret", "database": "erp1"}
+
+
+def test_connection_options_pick_the_backtick_dialect(spark):
+    opts = X.jdbc_options(SETTINGS)
     assert "secret" not in opts["url"] and opts["password"] == "secret" and opts["fetchsize"] == "50000"
+    dialect = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(opts["url"])
+    assert dialect.quoteIdentifier("posting_date") == "`posting_date`"
+    for name in SETTINGS:
+        with pytest.raises(ValueError, match=name):
+            X.jdbc_options({k: v for k, v in SETTINGS.items() if k != name})
+
+
+def test_splits_of_a_database_read():
+    days = X.RangeSplit("posting_date", dt.date(2026, 1, 1), dt.date(2026, 7, 1), 12).options()
+    assert days == {"partitionColumn": "posting_date", "lowerBound": "2026-01-01", "upperBound": "2026-07-01",
+                    "numPartitions": "12"}
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT DATE '2026-01-01' + CAST(i AS INT) AS d FROM range(400) r(i) "
+                "UNION ALL SELECT NULL")
+    cuts = X.day_predicates("d", [dt.date(2026, 7, 1), dt.date(2026, 3, 1), dt.date(2025, 1, 1)])
+    counts = [con.execute(f"SELECT count(*) FROM t WHERE {p}".replace("`", '"')).fetchone()[0] for p in cuts]
+    assert len(cuts) == 4 and sum(counts) == 401
+    assert X.day_predicates("d", []) == ["1 = 1"]
+
+
+def test_bound_parameters_are_literals():
+    text = "SELECT ':a', `x:a`, :a, :b FROM t WHERE d >= :d AND n = :n AND s = :nothing"
+    got = X.bind(text, {"a": "O'Neil \\ x", "b": 3, "d": dt.date(2026, 7, 1), "n": 1.5, "nothing": None})
+    assert got == ("SELECT ':a', `x:a`, 'O''Neil \\\\ x', 3 FROM t WHERE d >= '2026-07-01' AND n = 1.5 AND s = NULL")
     with pytest.raises(KeyError):
-        X.DbConfig.from_env(env={"ERP_DB_HOST": "db"})
+        X.bind("SELECT :missing", {})
+
+
+def test_an_empty_rerun_empties_its_day_and_versions_are_read_once(spark):
+    root = X.scratch_path(spark, "t_versions")
+    schema = "name string, modified timestamp_ntz, v int"
+    at = lambda d: dt.datetime(2026, 7, d)
+    for day, rows in (("2026-07-01", [("A", at(1), 1), ("B", at(1), 1), (None, at(1), 0)]), ("2026-07-02", [("A", at(2), 2)]),
+                      ("2026-07-03", [("C", at(3), 3)])):
+        X.extract_partition(X.frame_source({"tabX Y": spark.createDataFrame(rows, schema)}), "tabX Y", root, ds=day)
+    latest = X.parquet_source(spark, root)("tabX Y")
+    assert latest.columns == ["name", "modified", "v"]
+    assert sorted((r["name"] or "", r["v"]) for r in latest.collect()) == [("", 0), ("A", 2), ("B", 1), ("C", 3)]
+    assert [r["v"] for r in X.parquet_source(spark, root, ds="2026-07-01")("tabX Y").where("name = 'A'").collect()] == [1]
+    empty = spark.createDataFrame([], schema)
+    res = X.extract_partition(X.frame_source({"tabX Y": empty}), "tabX Y", root, ds="2026-07-03")
+    assert res.rows == 0
+    assert X.parquet_source(spark, root)("tabX Y").where("name = 'C'").count() == 0
+    assert X.parquet_source(spark, root)("tabX Y").count() == 3
 
 
 def test_partition_rerun_replaces_only_its_day(spark):
@@ -77,6 +120,32 @@ def test_defaults_and_upsert_stamps(spark):
     assert out[4]["created_at"] == now and out[4]["updated_at"] == now         # new
 
 
+def test_upsert_keeps_columns_and_settles_repeated_keys(spark):
+    old, now = dt.datetime(2020, 1, 1), dt.datetime(2026, 1, 1)
+    ts = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+    cur = I.apply_defaults(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (None, "n", 0.0)],
+                                                 "k int, n string, price double"), {}, ts(old))
+    inc = spark.createDataFrame([(1, "z", 5, "x"), (1, "m", 9, "y"), (3, "c", 1, "w"), (3, "c", 1, "w"), (None, "n", 1, "v")],
+                                "k int, n string, seq int, extra string")
+    out = I.upsert_stamp(cur, inc, ["k"], ts(now), latest_by=["seq"])
+    got = {r["k"]: r for r in out.collect()}
+    assert out.count() == 4 and set(out.columns) == {"k", "n", "price", "seq", "extra", "created_at", "updated_at"}
+    assert (got[1]["n"], got[1]["price"], got[1]["extra"], got[1]["updated_at"]) == ("m", 1.0, "y", now)
+    assert (got[2]["n"], got[2]["price"], got[2]["updated_at"]) == ("b", 2.0, old)
+    assert (got[3]["n"], got[3]["price"], got[3]["created_at"]) == ("c", None, now)
+    assert got[None]["price"] == 0.0 and got[None]["created_at"] == old
+    same = I.upsert_stamp(cur, inc.select("k", "n"), ["k"], ts(now))
+    assert {r["k"]: r["n"] for r in same.collect()} == {1: "z", 2: "b", 3: "c", None: "n"}
+
+
+def test_assign_keys_splits_a_repeated_natural_key(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [("zz", 0)], "name string, i int").repartition(4)
+    out = I.assign_keys(rows, ["name"], "id", partitions=6)
+    assert sorted(r["id"] for r in out.collect()) == list(range(1, 3002))
+    parts = out.where("name = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+
+
 def test_assign_keys_dense_and_after_existing(spark):
     names = spark.createDataFrame([(f"n{i:05d}",) for i in range(2000)], "name string").repartition(5)
     existing = spark.createDataFrame([(100,), (7,)], "id bigint")
