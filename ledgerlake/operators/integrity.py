@@ -117,12 +117,14 @@ def upsert_stamp(current: DataFrame, incoming: DataFrame, key: list[str], load_t
     (NULL-safe comparison).  Keys absent from the batch are kept.
 
     Columns that the batch does not mention keep their values (NULL on new
-    keys); columns that only the batch has are added.  Of batch rows that
+    keys); columns that only the batch has are added, except those that only
+    order it (``latest_by``).  Of batch rows that
     repeat a key, the one with the greatest ``latest_by`` counts, ties and a
     missing ``latest_by`` by the greatest values, so the result has one row
     per key of either side.  Keys compare NULL-safe."""
     created, updated = stamps
-    values = [c for c in incoming.columns if c not in key and c not in stamps]
+    ordering = [c for c in latest_by if c not in current.columns]
+    values = [c for c in incoming.columns if c not in key and c not in stamps and c not in ordering]
     kept = [c for c in current.columns if c not in key and c not in stamps and c not in values]
     fields = list(dict.fromkeys([*latest_by, *values]))
     rank = F.struct(*[F.col(c) for c in fields]) if fields else F.struct(F.lit(1))

@@ -402,29 +402,28 @@ def a_two_level(v):
 
 
 _PER_CUST = f"""per AS (SELECT customer, ROUND({msum('base_grand_total')}, 2) AS amt FROM "tabSales Invoice"
-  WHERE docstatus = 1 AND posting_date {_PERIOD} GROUP BY customer)"""
+  WHERE docstatus = 1 GROUP BY customer)"""
 
 
-def _per_customer_period(v):
-    return (S.submitted(v.sales_invoice).where(fn.date_in_period("posting_date", START, END))
-            .groupBy("customer").agg(F.round(fn.money_sum("base_grand_total"), 2).alias("amt")))
+def _per_customer(v):
+    return (S.submitted(v.sales_invoice).groupBy("customer").agg(F.round(fn.money_sum("base_grand_total"), 2).alias("amt")))
 
 
 @q("a_total_row", f"""WITH {_PER_CUST}
 SELECT customer, CAST(amt AS DOUBLE) AS total FROM per
 UNION ALL SELECT 'TOTAL', CAST(ROUND(SUM(amt), 2) AS DOUBLE) FROM per""")
 def a_total_row(v):
-    both = detail_and_total(_per_customer_period(v), ["customer"], [F.round(F.sum("amt"), 2).alias("amt")])
+    both = detail_and_total(_per_customer(v), ["customer"], [F.round(F.sum("amt"), 2).alias("amt")])
     return both.select(F.when(F.col("__total"), F.lit("TOTAL")).otherwise(F.col("customer")).alias("customer"),
                        _d("amt").alias("total"))
 
 
-@q("a_group_constant", f"""SELECT 'Totals' AS label,
+@q("a_group_constant", """SELECT 'Totals' AS label,
   CAST(SUM(CASE WHEN status = 'Paid' THEN CAST(base_grand_total AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS paid,
   CAST(SUM(CASE WHEN status = 'Unpaid' THEN CAST(base_grand_total AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS unpaid
-FROM "tabSales Invoice" WHERE docstatus = 1 AND posting_date {_PERIOD} GROUP BY label""")
+FROM "tabSales Invoice" WHERE docstatus = 1 GROUP BY label""")
 def a_group_constant(v):
-    rows = S.submitted(v.sales_invoice).where(fn.date_in_period("posting_date", START, END))
+    rows = S.submitted(v.sales_invoice)
     amt = fn.money("base_grand_total")
     zero = F.lit(0).cast(fn.MONEY)
     return group_by_constant(rows, "label", "Totals",
@@ -547,7 +546,7 @@ UNION ALL SELECT '', {sql_date(AS_OF)}, CAST(SUM(amt) AS DOUBLE) FROM per""")
 def u_union_filler(v):
     schema = StructType([StructField("customer", StringType()), StructField("posting_date", DateType()),
                          StructField("total", DoubleType())])
-    per = _per_customer_period(v)
+    per = _per_customer(v)
     detail = per.select(*labelled_row(schema, {"customer": F.col("customer"), "total": F.col("amt")}))
     target = per.agg(F.count(F.lit(1))).select(*labelled_row(schema, {
         "customer": F.lit("Sales Target"), "total": F.lit(MONTHLY_TARGET) / F.lit(31)}))

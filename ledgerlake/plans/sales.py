@@ -22,21 +22,31 @@ def daily_sales(spark, sf_dir):
     return S.daily_sales(ErpViews(spark, sf_dir).sales_invoice)
 
 
-@register("customer_contribution", f"""
+def _contribution_sql(opening: str = "") -> str:
+    return f"""
 WITH per_customer AS (
   SELECT customer, customer_name, {msum('base_grand_total')} AS amt
   FROM "tabSales Invoice"
-  WHERE docstatus = 1 AND is_opening = 'No' AND status NOT IN ('Return')
+  WHERE docstatus = 1 {opening}AND status NOT IN ('Return')
     AND posting_date BETWEEN {sql_date(START)} AND {sql_date(END)}
   GROUP BY customer, customer_name)
 SELECT customer, customer_name, CAST(amt AS DOUBLE) AS total_sales_per,
        CAST(SUM(amt) OVER () AS DOUBLE) AS total_sales_revenue,
        CAST(amt AS DOUBLE) / NULLIF(CAST(SUM(amt) OVER () AS DOUBLE), 0) * 100 AS percentage
-FROM per_customer ORDER BY total_sales_per DESC""")
+FROM per_customer ORDER BY total_sales_per DESC"""
+
+
+@register("customer_contribution", _contribution_sql("AND is_opening = 'No' "))
 def customer_contribution(spark, sf_dir):
     return S.customer_contribution(ErpViews(spark, sf_dir).sales_invoice, START, END)
 
 
+@register("customer_contribution_with_opening", _contribution_sql())
+def customer_contribution_with_opening(spark, sf_dir):
+    """What the source's database returns: its test on the text flag holds for every row."""
+    return S.customer_contribution(ErpViews(spark, sf_dir).sales_invoice, START, END, exclude_opening=False)
+
+
 @register("weekly_sales", f"""
 SELECT CAST(strftime(posting_date, '%U') AS INTEGER) AS week_no, {dsum('base_grand_total')} AS total_weekly_sales
 FROM "tabSales Invoice" WHERE docstatus = 1 GROUP BY 1""")

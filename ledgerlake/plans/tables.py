@@ -160,24 +160,30 @@ def apply_defaults(v):
     return I.apply_defaults(v["purchase_history"], I.DEFAULTS["purchase_history"], _ts(LOAD_TS))
 
 
-_INCOMING = "SELECT p_partkey AS product_sku, p_name AS product_name, CASE WHEN p_size > 25 THEN p_retailprice + 1 ELSE p_retailprice END AS unit_price FROM part"
+# A batch with changed, unchanged, new (negative) and absent keys, two rows for the small sizes,
+# and without the product's name.
+_INCOMING = """SELECT product_sku, max_by(unit_price, seq) AS unit_price FROM (
+  SELECT CASE WHEN p_size = 7 THEN -p_partkey ELSE p_partkey END AS product_sku, 0 AS seq,
+    CASE WHEN p_size > 25 THEN p_retailprice + 1 ELSE p_retailprice END AS unit_price FROM part WHERE p_size <> 9
+  UNION ALL SELECT p_partkey, 1, p_retailprice + 2 FROM part WHERE p_size < 5) b GROUP BY product_sku"""
 
 
 @q("upsert_stamp", f"""WITH cur AS (SELECT product_sku, product_name, unit_price FROM products), inc AS ({_INCOMING})
 SELECT COALESCE(c.product_sku, i.product_sku) AS product_sku,
-  CASE WHEN i.product_sku IS NOT NULL THEN i.product_name ELSE c.product_name END AS product_name,
+  c.product_name,
   CASE WHEN i.product_sku IS NOT NULL THEN i.unit_price ELSE c.unit_price END AS unit_price,
   CASE WHEN c.product_sku IS NOT NULL THEN {_sql_ts(OLD_TS)} ELSE {_sql_ts(LOAD_TS)} END AS created_at,
-  CASE WHEN i.product_sku IS NOT NULL AND (c.product_sku IS NULL OR i.product_name IS DISTINCT FROM c.product_name
-       OR i.unit_price IS DISTINCT FROM c.unit_price) THEN {_sql_ts(LOAD_TS)} ELSE {_sql_ts(OLD_TS)} END AS updated_at
+  CASE WHEN i.product_sku IS NOT NULL AND (c.product_sku IS NULL OR i.unit_price IS DISTINCT FROM c.unit_price) THEN {_sql_ts(LOAD_TS)} ELSE {_sql_ts(OLD_TS)} END AS updated_at
 FROM cur c FULL OUTER JOIN inc i ON c.product_sku = i.product_sku""")
 def upsert_stamp(v):
     current = I.apply_defaults(v["products"], {}, _ts(OLD_TS))
     part = v.raw("part")
-    incoming = part.select(F.col("p_partkey").alias("product_sku"), F.col("p_name").alias("product_name"),
-                           F.when(F.col("p_size") > 25, F.col("p_retailprice") + 1)
-                           .otherwise(F.col("p_retailprice")).alias("unit_price"))
-    return I.upsert_stamp(current, incoming, ["product_sku"], _ts(LOAD_TS))
+    sku, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    incoming = part.where(size != 9).select(
+        F.when(size == 7, -sku).otherwise(sku).alias("product_sku"), F.lit(0).alias("seq"),
+        F.when(size > 25, price + 1).otherwise(price).alias("unit_price")).unionByName(
+            part.where(size < 5).select(sku.alias("product_sku"), F.lit(1).alias("seq"), (price + 2).alias("unit_price")))
+    return I.upsert_stamp(current, incoming, ["product_sku"], _ts(LOAD_TS), latest_by=["seq"])
 
 
 @q("assign_keys", """SELECT ROW_NUMBER() OVER (ORDER BY customer_name) AS customer_id, customer_name FROM customers""")

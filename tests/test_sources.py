@@ -129,7 +129,7 @@ def test_upsert_keeps_columns_and_settles_repeated_keys(spark):
                                 "k int, n string, seq int, extra string")
     out = I.upsert_stamp(cur, inc, ["k"], ts(now), latest_by=["seq"])
     got = {r["k"]: r for r in out.collect()}
-    assert out.count() == 4 and set(out.columns) == {"k", "n", "price", "seq", "extra", "created_at", "updated_at"}
+    assert out.count() == 4 and set(out.columns) == {"k", "n", "price", "extra", "created_at", "updated_at"}
     assert (got[1]["n"], got[1]["price"], got[1]["extra"], got[1]["updated_at"]) == ("m", 1.0, "y", now)
     assert (got[2]["n"], got[2]["price"], got[2]["updated_at"]) == ("b", 2.0, old)
     assert (got[3]["n"], got[3]["price"], got[3]["created_at"]) == ("c", None, now)
