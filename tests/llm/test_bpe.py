@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from corpus_fixtures import docs  # noqa: F401
 from ledgerlake.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

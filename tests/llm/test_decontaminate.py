@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+from corpus_fixtures import docs  # noqa: F401
 from ledgerlake.llm import decontaminate
 
 

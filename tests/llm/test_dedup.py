@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from corpus_fixtures import docs  # noqa: F401
 from ledgerlake.llm import components, exact_dedup, simhash_dedup
 
 

@@ -6,6 +6,7 @@ import re
 import public_tokenizers
 import pytest
 
+from corpus_fixtures import docs  # noqa: F401
 from ledgerlake.llm import pii, secret_scan
 
 

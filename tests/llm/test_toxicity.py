@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from corpus_fixtures import docs  # noqa: F401
 from ledgerlake.llm import toxicity
 
 
