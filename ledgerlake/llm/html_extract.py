@@ -21,8 +21,9 @@
 A block is the text between two block-level tags.  Character references are
 decoded, white space becomes one space, blocks are joined by a line feed.
 
-Skeletons are broadcast only when measured to fit ``BROADCAST_BYTES``; beyond,
-the join is Spark's choice and adaptive execution splits a hot host.
+Skeletons are broadcast only when measured to fit ``BROADCAST_BYTES``, the list
+of first pages only when counted to fit ``BROADCAST_HOSTS``; beyond, the joins
+are Spark's choice and adaptive execution splits a hot host.
 
 Defined results: null and empty html give the empty text; unclosed and
 misplaced tags are repaired as browsers do for paragraphs and lists; null urls
@@ -50,6 +51,8 @@ CONSTANT = 0.9
 MIN_PAGES = 10
 MAIN_SHARE = 0.6
 BROADCAST_BYTES = 32 << 20
+# Hosts (a name and an id each) up to which the list of their first pages is broadcast.
+BROADCAST_HOSTS = 200_000
 # Products of child counts up to which children are aligned by dynamic programming.
 ALIGN_CELLS = 250_000
 
@@ -422,7 +425,9 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = df.withColumn(host, host_of(named(url_col)))
     pages = rows.select(F.col(host).alias("host"), named(id_col).alias("id"),
                         F.coalesce(named(html_col), F.lit("")).alias("source"))
-    first = pages.groupBy("host").agg(F.min("id").alias("first_id")).withColumnRenamed("host", "first_host")
+    first = shared(pages.groupBy("host").agg(F.min("id").alias("first_id")).withColumnRenamed("host", "first_host"))
+    if first.count() <= BROADCAST_HOSTS:        # otherwise pages are exchanged by (host, id), which spreads a hot host
+        first = F.broadcast(first)
     chosen = (pages.join(first, (F.col("host") == F.col("first_host")) & F.col("id").eqNullSafe(F.col("first_id")))
               .groupBy("host").agg(F.min("source").alias("source")))
     patterns = shared(chosen.select("host", skeletons("source").alias("pattern")))
