@@ -16,6 +16,7 @@ import string
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -120,6 +121,24 @@ def _holes(template: str) -> list[str]:
 # A data directory of this form names a folder of extracted ERP tables.
 EXTRACT_PREFIX = "erp:"
 
+# path -> (modification time, length) and the schema read then.
+_SCHEMAS: dict[str, tuple[tuple[int, int], StructType]] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table.  Reading a schema is a job of its own, so the schema
+    (no frame, no file list) is kept for as long as the path is unchanged; the
+    files are listed anew at every call."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    stamp = (status.getModificationTime(), status.getLen())
+    known = _SCHEMAS.get(path)
+    if known is not None and known[0] == stamp:
+        return spark.read.schema(known[1]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = (stamp, df.schema)
+    return df
+
 
 class ErpViews:
     """Lazily built ERP DataFrames for one test-data directory.
@@ -138,7 +157,7 @@ class ErpViews:
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
         if key not in self._cache:
-            self._cache[key] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            self._cache[key] = read_parquet(self.spark, f"{self.sf_dir.rstrip('/')}/{name}.parquet")
         return self._cache[key]
 
     def derived(self, table: str) -> DataFrame:
@@ -149,7 +168,7 @@ class ErpViews:
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self._cache:
             if self._extracted is not None:
-                self._cache[table] = self.spark.read.parquet(f"{self._extracted.rstrip('/')}/{_safe(table)}")
+                self._cache[table] = read_parquet(self.spark, f"{self._extracted.rstrip('/')}/{_safe(table)}")
             else:
                 self._cache[table] = self.derived(table)
         return self._cache[table]

@@ -159,3 +159,13 @@ def test_apply_schema_types(spark, views_small):
     df = I.apply_schema(views_small["customers"], I.CUSTOMER_MODEL["customers"])
     assert [f.dataType.simpleString() for f in df.schema.fields] == \
         ["int", "string", "string", "string", "string", "timestamp_ntz", "timestamp_ntz"]
+
+
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
+    from ledgerlake.sources.fixtures import read_parquet
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    assert read_parquet(spark, path).count() == read_parquet(spark, path).count() == 3
+    spark.createDataFrame([("a", 1)], "s string, n int").write.mode("overwrite").parquet(path)
+    again = read_parquet(spark, path)
+    assert again.columns == ["s", "n"] and again.count() == 1
