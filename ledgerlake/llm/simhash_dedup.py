@@ -37,7 +37,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import fresh, named, row_key, shared
@@ -159,7 +159,12 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
                     bucket: int = BUCKET) -> DataFrame:
-    """(id, row_key, fp, component_id) for every row; ``component_id`` is the smallest id reachable."""
+    """(id, row_key, fp, root, component_id) for every row of ``df``.
+
+    ``root`` is the smallest fingerprint of the class and names it;
+    ``component_id`` is the smallest id reachable, which different classes
+    share when ids repeat or are null.
+    """
     docs = shared(df.select(named(id_col).alias("id"), row_key(df, id_col, text_col).alias("row_key"),
                             fingerprints(df, text_col, k).alias("fp")))
     prints = shared(docs.groupBy("fp").agg(F.min("id").alias("id")))
@@ -167,25 +172,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = (prints.join(roots, prints["fp"] == roots["node"], "left")
                .select("fp", "id", F.coalesce("root", "fp").alias("root")))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("id", "row_key", "fp", "component_id")
+    classes = classes.join(least, "root").select("fp", "root", "component_id")
+    return docs.join(classes, "fp").select("id", "row_key", "fp", "root", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: each class keeps the row of its smallest id.
+    """The rows of ``df`` without near-duplicates: each class keeps the row of its smallest id (nulls last).
 
-    Of rows that repeat that id, one stays (smallest hash of the whole row).
+    Of rows that repeat that id, one stays (smallest digest of id and text,
+    then smallest hash of the whole row).
     """
     cols = df.columns
-    row, rank = fresh(cols, "sd_row", "sd_rank")
-    found = near_duplicates(df, id_col, text_col, k)
-    best = Window.partitionBy("component_id", "id").orderBy("row_key", "fp")
-    stays = (found.filter(F.col("id").eqNullSafe(F.col("component_id")))
-             .withColumn(rank, F.row_number().over(best)).filter(F.col(rank) == 1)
-             .select(F.col("id").alias("stay_id"), F.col("row_key").alias("stay_key")))
+    row, best = fresh(cols, "sd_row", "sd_best")
+    # Aggregates, so that a hot class or a hot row is reduced before the exchange.
+    stays = (near_duplicates(df, id_col, text_col, k).groupBy("root")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key", "fp")).alias("stay"))
+             .select(F.col("stay.id").alias("stay_id"), F.col("stay.row_key").alias("stay_key")))
     keyed = df.withColumn(row, row_key(df, id_col, text_col))
     joined = keyed.join(stays, F.col(row).eqNullSafe(F.col("stay_key"))
                         & named(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
-    once = Window.partitionBy(named(id_col), F.col(row)).orderBy(F.xxhash64(*[named(c) for c in cols]))
-    return (joined.withColumn(rank, F.row_number().over(once)).filter(F.col(rank) == 1)
-            .select(*[named(c) for c in cols]))
+    whole = [named(c) for c in cols]
+    return (joined.groupBy(named(id_col).alias("stay_id"), F.col(row))
+            .agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias(best))
+            .select(*[F.col(best).getField(c).alias(c) for c in cols]))

@@ -124,3 +124,17 @@ def test_near_duplicates_and_stage(docs):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert simhash_dedup.one_of_each(df.limit(0)).count() == 0
+
+
+def test_stage_elects_one_row_of_each_class_when_ids_are_null_or_repeat(docs):
+    """Classes that share their smallest id, or have none, keep a row each."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    a, b, c, d = (" ".join(rng.choices(vocabulary, k=150)) for _ in range(4))
+    prints = [reference_fingerprint(t) for t in (a, b, c, d)]
+    assert all((x ^ y).bit_count() > 2 for i, x in enumerate(prints) for y in prints[:i])
+    near = next(t for t in (f"{b} {w}" for w in vocabulary)
+                if 0 < (reference_fingerprint(t) ^ prints[1]).bit_count() <= 2)
+    rows = [(None, a), (None, a), (2, b), (2, c), (9, near), (None, d), (7, d), (None, None), (None, "")]
+    kept = [(r["doc_id"], r["text"] or "") for r in simhash_dedup.one_of_each(docs(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (2, b), (2, c), (7, d), (None, "")], key=str)
