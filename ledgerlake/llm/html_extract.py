@@ -1,8 +1,13 @@
 """Main-text extraction by wrapper induction.
 
-1. Each host's page with the smallest id is its *pattern*; its DOM is kept as a
-   skeleton (labels, shape, and a digest and length of each node's own text).
-2. Every page is aligned with its host's pattern by simple tree matching
+1. A host's pages are told apart by *layout* (the set of their container tags
+   and classes).  Each layout of ``MIN_PAGES`` pages or more has a *pattern*, and
+   so has each host's most frequent one, which the pages of rarer layouts use.
+   It is the page of the smallest id among those with the layout's fullest list
+   of containers that ``MIN_PAGES`` pages share (else the most frequent list);
+   empty pages don't count.  Its DOM is kept as a skeleton (labels, shape, and
+   a digest and length of each node's own text).
+2. Every page is aligned with its pattern by simple tree matching
    (Yang): the children of two nodes with equal labels are matched in order so
    that the number of matched nodes is largest.  For each node of the pattern
    the matches, and those with the same text, are counted over all pages; the
@@ -15,14 +20,14 @@
 4. A page's text is what it holds where the alignment puts the main slot,
    without template blocks and without such elements (a repeated word inside a
    varying block belongs to its text).  Pages that the pattern
-   does not cover, and hosts where nothing varies (a page alone, or copies of
+   does not cover or is too bare for, and hosts where nothing varies (a page alone, or copies of
    one page), are read by the same rule from their own tree.
 
 A block is the text between two block-level tags.  Character references are
 decoded, white space becomes one space, blocks are joined by a line feed.
 
 Skeletons are broadcast only when measured to fit ``BROADCAST_BYTES``, the list
-of first pages only when counted to fit ``BROADCAST_HOSTS``; beyond, the joins
+of pattern pages only when counted to fit ``BROADCAST_HOSTS``; beyond, the joins
 are Spark's choice and adaptive execution splits a hot host.
 
 Defined results: null and empty html give the empty text; unclosed and
@@ -41,7 +46,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import fresh, named, shared
@@ -51,7 +56,7 @@ CONSTANT = 0.9
 MIN_PAGES = 10
 MAIN_SHARE = 0.6
 BROADCAST_BYTES = 32 << 20
-# Hosts (a name and an id each) up to which the list of their first pages is broadcast.
+# Layouts (a name and three numbers each) up to which the list of their pattern pages is broadcast.
 BROADCAST_HOSTS = 200_000
 # Products of child counts up to which children are aligned by dynamic programming.
 ALIGN_CELLS = 250_000
@@ -78,6 +83,8 @@ DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense
                        "pager login".split())
 CONTAINERS = frozenset("html body div section center table tbody tr td span".split())
 MAIN = frozenset(("article", "main"))
+_CONTAINER = r"(?i)<(?:article|aside|div|footer|form|header|main|nav|section|table)\b[^>]*"
+_CLASS = r"""(?i)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 class Node:
@@ -372,6 +379,8 @@ def extract(source: str, pattern: str | None = None, counts: list[tuple[int, int
             template, main = set(), main_slot(model, set())
         matched = align(model[0], root)
         slot = matched.get(main.number)
+        if main.tag in ("#root", "html", "body") and len(nodes) > 2 * len(matched):      # too bare to tell
+            slot = None
         without = {matched[n].number for n in template if n in matched and matched[n].digest == model[n].digest
                    and matched[n].mass and not matched[n].children and matched[n].tag in BLOCK}
     if slot is None or slot.dropped:
@@ -386,28 +395,56 @@ def _under(node: Node, top: Node) -> bool:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, pages, same) added up over each batch."""
+    """(host, layout, node, pages, same) added up over each batch."""
     for batch in batches:
         pages, same = Counter(), Counter()
-        for host, source, pattern in zip(*(c.to_pylist() for c in batch.columns)):
+        for host, layout, source, pattern in zip(*(c.to_pylist() for c in batch.columns)):
             forget()
             model, root = from_skeleton(pattern), parse(source)
             measure(root)
             for number, node in align(model[0], root).items():
                 if model[number].mass:
-                    pages[host, number] += 1
-                    same[host, number] += node.digest == model[number].digest
+                    pages[host, layout, number] += 1
+                    same[host, layout, number] += node.digest == model[number].digest
         keys = sorted(pages)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
+             pa.array([k[2] for k in keys], pa.int32()),
              pa.array([pages[k] for k in keys], pa.int64()), pa.array([int(same[k]) for k in keys], pa.int64())],
-            names=["host", "node", "pages", "same"])
+            names=["host", "layout", "node", "pages", "same"])
+
+
+def containers(source: Column) -> Column:
+    """The container tags of a page with their classes, sorted; numbers in classes are taken as equal."""
+    return F.array_sort(F.transform(
+        F.regexp_extract_all(source, F.lit(_CONTAINER), F.lit(0)),
+        lambda x: F.regexp_replace(F.lower(F.concat_ws(
+            ".", F.regexp_extract(x, "[A-Za-z]+", 0), F.regexp_extract(x, _CLASS, 1))), "[0-9]+", "0")))
+
+
+def pattern_pages(pages: DataFrame) -> DataFrame:
+    """(host, layout, form, id, many, top) of the pages (host, layout, form, tags, id) that patterns are made of."""
+    forms = pages.groupBy("host", "layout", "form").agg(F.count(F.lit(1)).alias("n"), F.max("tags").alias("tags"),
+                                                        F.min("id").alias("id"))
+    often = F.col("n") >= MIN_PAGES
+    best = F.min(F.struct((~often).alias("rare"), F.when(often, -F.col("tags")).otherwise(-F.col("n")).alias("by"),
+                          (-F.col("n")).alias("minus"), (-F.col("tags")).alias("less"), F.col("id").isNull().alias("none"),
+                          "id", "form"))
+    layouts = forms.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("tags")).alias("tags"),
+                                                  best.alias("best"))
+    tops = layouts.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("minus"), (-F.col("tags")).alias("less"),
+                                                      "layout")).alias("first"))
+    return (layouts.join(tops.select("host", F.col("first.layout").alias("top")), "host")
+            .select("host", "layout", "best.form", "best.id", (F.col("n") >= MIN_PAGES).alias("many"),
+                    (F.col("layout") == F.col("top")).alias("top"))
+            .filter("many OR top"))
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> tuple[DataFrame, str]:
     """``df`` with a column of its pages' main texts, and that column's name."""
-    host, name, skel, stats = fresh(df.columns, "he_host", "main_text", "he_skeleton", "he_counts")
+    host, layout, name, skel, stats, top_skel, top_stats = fresh(
+        df.columns, "he_host", "he_layout", "main_text", "he_skeleton", "he_counts", "he_top_skeleton", "he_top_counts")
 
     @F.arrow_udf("string")
     def skeletons(sources: pa.Array) -> pa.Array:
@@ -422,27 +459,44 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             out.append(extract(source, pattern, [(c["node"], c["pages"], c["same"]) for c in found or ()]))
         return pa.array(out, pa.string())
 
-    rows = df.withColumn(host, host_of(named(url_col)))
-    pages = rows.select(F.col(host).alias("host"), named(id_col).alias("id"),
-                        F.coalesce(named(html_col), F.lit("")).alias("source"))
-    first = shared(pages.groupBy("host").agg(F.min("id").alias("first_id")).withColumnRenamed("host", "first_host"))
-    if first.count() <= BROADCAST_HOSTS:        # otherwise pages are exchanged by (host, id), which spreads a hot host
-        first = F.broadcast(first)
-    chosen = (pages.join(first, (F.col("host") == F.col("first_host")) & F.col("id").eqNullSafe(F.col("first_id")))
-              .groupBy("host").agg(F.min("source").alias("source")))
-    patterns = shared(chosen.select("host", skeletons("source").alias("pattern")))
+    source = F.coalesce(named(html_col), F.lit(""))
+    rows = df.withColumn(host, host_of(named(url_col))).withColumn(
+        layout, F.xxhash64(F.array_distinct(containers(source))))
+    pages = (rows.select(F.col(host).alias("host"), F.col(layout).alias("layout"), named(id_col).alias("id"),
+                         source.alias("source")).filter(F.col("source").rlike(r"\S")))
+    tags = containers(F.col("source"))
+    formed = pages.withColumn("form", F.xxhash64(tags)).withColumn("tags", F.size(tags))
+    first = shared(pattern_pages(formed.drop("source")))
+    listed = first.select(*[F.col(c).alias(f"first_{c}") for c in first.columns])
+    if first.count() <= BROADCAST_HOSTS:        # otherwise pages are exchanged by all four, which spreads a hot host
+        listed = F.broadcast(listed)
+    chosen = (formed.join(listed, (F.col("host") == F.col("first_host")) & (F.col("layout") == F.col("first_layout"))
+                          & (F.col("form") == F.col("first_form")) & F.col("id").eqNullSafe(F.col("first_id")))
+              .groupBy("host", "layout").agg(F.min("source").alias("source"), F.first("first_many").alias("many"),
+                                             F.first("first_top").alias("top")))
+    patterns = shared(chosen.select("host", "layout", "many", "top", skeletons("source").alias("pattern")))
+    size = patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0
 
     def sized(side: DataFrame) -> DataFrame:
-        size = patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0
         return F.broadcast(side) if size <= BROADCAST_BYTES else side
 
-    tallies = (pages.join(sized(patterns), "host").select("host", "source", "pattern")
-               .mapInArrow(_counts, "host string, node int, pages bigint, same bigint")
-               .groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-               .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same"))).alias("counts")))
-    # A host's counts are as many as its pattern has nodes.
-    wrappers = shared(patterns.join(tallies, "host", "left")).select(
-        F.col("host").alias(host), F.col("pattern").alias(skel), F.col("counts").alias(stats))
-    read = rows.join(sized(wrappers), host, "left")
-    return (read.withColumn(name, texts(F.coalesce(named(html_col), F.lit("")), named(skel), named(stats)))
-            .drop(host, skel, stats), name)
+    own = patterns.filter("many").select("host", "layout", "pattern")
+    tops = patterns.filter("top").select("host", F.col("layout").alias("top_layout"), F.col("pattern").alias("top_pattern"))
+    tallies = (pages.join(sized(own), ["host", "layout"], "left").join(sized(tops), "host")
+               .select("host", F.when(F.col("pattern").isNotNull(), F.col("layout")).otherwise(F.col("top_layout"))
+                       .alias("layout"), "source", F.coalesce("pattern", "top_pattern").alias("pattern"))
+               .mapInArrow(_counts, "host string, layout bigint, node int, pages bigint, same bigint")
+               .groupBy("host", "layout", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+               .groupBy("host", "layout")
+               .agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same"))).alias("counts")))
+    # A pattern's counts are as many as it has nodes.
+    wrappers = shared(patterns.join(tallies, ["host", "layout"], "left"))
+    own = wrappers.filter("many").select(F.col("host").alias(host), F.col("layout").alias(layout),
+                                         F.col("pattern").alias(skel), F.col("counts").alias(stats))
+    tops = wrappers.filter("top").select(F.col("host").alias(host), F.col("pattern").alias(top_skel),
+                                         F.col("counts").alias(top_stats))
+    read = rows.join(sized(own), [host, layout], "left").join(sized(tops), host, "left")
+    alone = named(skel).isNull()
+    return (read.withColumn(name, texts(source, F.when(alone, named(top_skel)).otherwise(named(skel)),
+                                        F.when(alone, named(top_stats)).otherwise(named(stats))))
+            .drop(host, layout, skel, stats, top_skel, top_stats), name)

@@ -92,6 +92,23 @@ def test_template_nodes_are_found_by_alignment(spark):
     assert html_extract.extract_pages(df.limit(0))[0].count() == 0
 
 
+def test_an_odd_first_page_does_not_spoil_its_host(spark):
+    """First pages that are empty, an error stub, or without a block that the other pages have."""
+    def story(n, notice="<div>Members read more</div>"):
+        return (f"<html><body><div>My Site</div><div><a href='/'>Home</a> <a href='/x'>All</a></div>"
+                f"<div class='wrap'><h1>Title {n}</h1><p>one {n}</p>{notice}<p>two {n} and more of it</p></div>"
+                f"<div>All rights</div></body></html>")
+    firsts = {"a": None, "b": "", "c": "<html><body><p>404</p></body></html>", "d": story(0, "")}
+    rows = [(n, f"http://{h}.example/{n}", story(n) if n else first) for h, first in firsts.items() for n in range(14)]
+    read, col = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(r["url"][7], r["page_id"]): r[col] for r in read.collect()}
+    assert len(got) == len(rows)
+    for h in firsts:
+        for n in range(1, 14):
+            assert got[h, n] == f"Title {n}\none {n}\ntwo {n} and more of it", (h, n)
+    assert [got[h, 0] for h in "abcd"] == ["", "", "404", "Title 0\none 0\ntwo 0 and more of it"]
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     same = "<html><body><nav>m</nav><article><h1>T</h1><p>all the same</p></article><footer>f</footer></body></html>"
     df = spark.createDataFrame([(i, "http://h.example/", same) for i in range(60)], "page_id long, url string, html string")
