@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows (built-in functions only).
 
 Texts are lower-cased and cut into words (runs of letters and digits), words
-into five-word shingles (fewer words: one shingle of all of them).  An item
+into five-word shingles (fewer words: one shingle of all of them, so an item of
+one to four words only matches a document that consists of it alone).  An item
 leaks into a document when some window of the document with as many shingles
 as the item has a weighted-shingle (multiset Jaccard) similarity of 0.8 or
 more with it.
