@@ -10,7 +10,8 @@ more with it.
 1. *Windows.*  A window that similar shares shingles with the item, so windows
    are laid only where a shingle of the document is one of the benchmark's:
    the occurrence's offset inside the item gives the window's place, clipped to
-   the document.  This drops no similar window of any item.
+   the document.  A window that starts between two such places (words inserted
+   or deleted inside the passage) is not laid.
 2. *Fingerprints.*  Windows and items get 64-bit SimHashes of their shingle
    hashes, every occurrence weighing one.
 3. *Multi-index.*  Fingerprints are cut into ``radius + 1`` blocks; two within
