@@ -22,10 +22,10 @@ from ledgerlake.operators.relational import (
     detail_and_total,
     group_by_constant,
     labelled_row,
-    running_total,
     sums_with_min_text,
     union_positional,
 )
+from ledgerlake.operators.series import running_sums, running_total
 from ledgerlake.plans.registry import AS_OF, END, MONTHLY_TARGET, START, dsum, msum, register, sql_date
 from ledgerlake.sources.fixtures import ErpViews
 
@@ -473,8 +473,18 @@ def w_running_sum(v):
 @q("w_running_sum_of_sum", """SELECT posting_date, CAST(SUM(SUM(CAST(base_grand_total AS DECIMAL(18,4)))) OVER (ORDER BY posting_date) AS DOUBLE) AS cumulative_sales
 FROM "tabSales Invoice" WHERE docstatus = 1 GROUP BY posting_date""")
 def w_running_sum_of_sum(v):
-    # one row per day reaches the window: the days of the ledger's span, not its rows
-    return running_total(_daily(v), "amt", "posting_date", "cum").select("posting_date", _d("cum").alias("cumulative_sales"))
+    return running_sums(_daily(v), "amt", "posting_date", "cum").select("posting_date", _d("cum").alias("cumulative_sales"))
+
+
+@q("w_running_balance", f"""SELECT name, account, posting_date,
+  CAST(SUM(CAST(debit AS DECIMAL(18,4)) - CAST(credit AS DECIMAL(18,4))) OVER (PARTITION BY account ORDER BY posting_date) AS DOUBLE) AS balance
+FROM "tabGL Entry" WHERE is_cancelled = 0""")
+def w_running_balance(v):
+    """Every ledger line with its account's balance at the end of its day."""
+    lines = v.gl_entry.where(F.col("is_cancelled") == 0).select(
+        "name", "account", "posting_date", (fn.money("debit") - fn.money("credit")).alias("net"))
+    return running_total(lines, "net", "posting_date", "cum", by=["account"]).select(
+        "name", "account", "posting_date", _d("cum").alias("balance"))
 
 
 # ---------------------------------------------------------------- 2.6 O1-O3
