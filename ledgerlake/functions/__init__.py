@@ -22,6 +22,7 @@ from ledgerlake.functions.erp import (  # noqa: F401
 from ledgerlake.functions.money import (  # noqa: F401
     MONEY,
     as_double,
+    exact_sum,
     money,
     money_round,
     money_sum,

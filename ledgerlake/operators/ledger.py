@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ledgerlake.functions import as_double, date_in_period, money, money_sum, to_base_currency
+from ledgerlake.functions import as_double, date_in_period, exact_sum, money, money_sum, to_base_currency
 from ledgerlake.functions.dates import as_date
 from ledgerlake.functions.erp import PAYROLL_PARENT, PAYROLL_PATTERN
+from ledgerlake.functions.money import AMOUNT
 from ledgerlake.operators.relational import group_by_constant, sums_with_min_text
 
 # Fixed values of the source reports.
@@ -155,6 +156,14 @@ def journal_payable_lines(journal_entry_account: DataFrame, journal_entry: DataF
         ((F.col("debit") > 0) & ref_t.isNotNull() & (ref_t != "Purchase Invoice")).alias("is_debit_alloc"))
 
 
+def outstanding_in_base(purchase_invoice: DataFrame, foreign: str = "USD") -> DataFrame:
+    """Outstanding amount of each supplier's submitted invoices in base currency, products and sum exact to
+    nine decimals (``functions.money.exact_sum``)."""
+    factor = F.when(F.col("party_account_currency") == foreign, F.col("conversion_rate").cast(AMOUNT)).otherwise(F.lit(1))
+    return (submitted(purchase_invoice).groupBy(F.col("supplier").alias("supplier_id"))
+            .agg(exact_sum("outstanding_amount", factor).alias("outstanding")))
+
+
 def journal_class_sums(lines: DataFrame, supplier: DataFrame, flag: str, amount: str, out: str) -> DataFrame:
     """Sum of one class of journal lines per party, with the supplier name."""
     per = (lines.where(F.col(flag)).groupBy(F.col("party"))

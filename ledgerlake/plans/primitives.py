@@ -7,6 +7,7 @@ ERP tables, with an independent DuckDB statement as its oracle.
 from __future__ import annotations
 
 import calendar as _calendar
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -439,6 +440,40 @@ def a_representative(v):
     return out.select("party", "party_name", _d("paid").alias("paid"))
 
 
+# Amounts of nine decimals, as the source database stores them: two from the price, nine from the part.
+_NINE = "CAST(CAST(l_partkey * 7919 + l_linenumber AS DECIMAL(9,0)) * CAST(0.000000001 AS DECIMAL(9,9)) AS DECIMAL(18,9))"
+_PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
+
+
+def _nine():
+    units = (F.col("l_partkey") * 7919 + F.col("l_linenumber")).cast("decimal(9,0)")
+    return (units * F.lit(Decimal("0.000000001"))).cast("decimal(18,9)")
+
+
+@q("a_sum_exact", f"""SELECT l_suppkey, CAST(SUM(CAST({_PRICE} + {_NINE} AS DECIMAL(28,9))) AS VARCHAR) AS total,
+  CAST(ROUND(SUM(CAST({_PRICE} + {_NINE} AS DECIMAL(28,9))), 2) AS DOUBLE) AS rounded_total
+FROM lineitem GROUP BY l_suppkey""")
+def a_sum_exact(v):
+    amount = F.col("l_extendedprice").cast("decimal(18,2)") + _nine()
+    return v.raw("lineitem").groupBy("l_suppkey").agg(fn.exact_sum(amount).alias("t")).select(
+        "l_suppkey", F.col("t").cast("string").alias("total"), _d(fn.money_round("t")).alias("rounded_total"))
+
+
+# The outstanding invoices in base currency, at a rate of nine decimals.
+_RATE = "CASE WHEN party_account_currency = 'USD' THEN CAST(conversion_rate AS DECIMAL(13,4)) + 0.123456789 ELSE 1 END"
+
+
+@q("outstanding_base_exact", f"""WITH x AS (SELECT supplier, SUM(CAST(outstanding_amount AS DECIMAL(20,2)) * CAST({_RATE} AS DECIMAL(18,9))) AS t
+  FROM "tabPurchase Invoice" WHERE docstatus = 1 GROUP BY supplier)
+SELECT supplier AS supplier_id, CAST(CAST(ROUND(t, 9) AS DECIMAL(38,9)) AS VARCHAR) AS outstanding,
+  CAST(ROUND(t, 2) AS DOUBLE) AS rounded_outstanding FROM x""")
+def outstanding_base_exact(v):
+    rate = F.col("conversion_rate").cast("decimal(13,4)") + F.lit(Decimal("0.123456789"))
+    out = L.outstanding_in_base(v.purchase_invoice.withColumn("conversion_rate", rate.cast("decimal(18,9)")))
+    return out.select("supplier_id", F.col("outstanding").cast("string").alias("outstanding"),
+                      _d(fn.money_round("outstanding")).alias("rounded_outstanding"))
+
+
 # ---------------------------------------------------------------- 2.5 W1-W4
 
 @q("w_total", f"""WITH per AS (SELECT customer, {msum('base_grand_total')} AS amt FROM "tabSales Invoice" WHERE docstatus = 1 GROUP BY customer)
