@@ -28,3 +28,4 @@ from ledgerlake.functions.money import (  # noqa: F401
     money_sum,
     safe_divide,
 )
+from ledgerlake.functions.text import CASE_INSENSITIVE, binary_text, collated  # noqa: F401

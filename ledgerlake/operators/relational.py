@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
 
+from ledgerlake.functions.text import CASE_INSENSITIVE
+
 
 def union_positional(*frames: DataFrame) -> DataFrame:
     """UNION ALL by position; names come from the first input (SQL rule)."""
@@ -73,6 +75,20 @@ def sums_with_min_text(df: DataFrame, keys: list[str], sums: dict[str, Column],
     return lower.groupBy(*keys).agg(F.min(text).alias(out or text), *[F.sum(n).alias(n) for n in sums])
 
 
+def collated_groups(df: DataFrame, keys: list[str], sums: dict[str, Column],
+                    collation: str = CASE_INSENSITIVE) -> DataFrame:
+    """``GROUP BY keys`` under a collation, each key shown in its least spelling.
+
+    Rows are summed by spelling first (hash aggregation, partial sums before the shuffle); the collated
+    grouping then sees one row for each spelling.  A plain grouping by a collated column would show
+    whichever spelling a task met first."""
+    spelt = df.groupBy(*[F.col(k).cast("string").alias(k) for k in keys]).agg(*[c.alias(n) for n, c in sums.items()])
+    fold = spelt.select("*", *[F.collate(F.col(k), collation).alias(f"__fold_{k}") for k in keys])
+    out = fold.groupBy(*[f"__fold_{k}" for k in keys]).agg(
+        *[F.min(k).alias(k) for k in keys], *[F.sum(n).alias(n) for n in sums])
+    return out.select(*keys, *sums)
+
+
 def detail_and_total(detail: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Detail rows and one grand-total row from a single aggregation,
     ``GROUP BY GROUPING SETS ((keys), ())`` over the detail.

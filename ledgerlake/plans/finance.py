@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import as_double, binary_text, money_sum
 from ledgerlake.operators import ledger as L
-from ledgerlake.plans.registry import AS_OF, COMPANY, END, START, msum, register, sql_date
+from ledgerlake.operators.relational import collated_groups
+from ledgerlake.plans.registry import AS_OF, COMPANY, END, START, dsum, msum, register, sql_date
+from ledgerlake.sources.extract import collated_source
 from ledgerlake.sources.fixtures import ErpViews
 
 _PERIOD = f"BETWEEN {sql_date(START)} AND {sql_date(END)}"
@@ -251,3 +254,62 @@ SELECT parent_account, CAST(expenses AS DOUBLE) AS total_expenses, CAST(income A
 def income_expense(spark, sf_dir):
     v = ErpViews(spark, sf_dir)
     return L.income_expense(v.gl_entry, v.account, START, END)
+
+
+# ---------------------------------------------------------------- K12: names compared without regard to case
+
+def _shouted(c: str) -> str:
+    return f"CASE WHEN length(name) % 2 = 0 THEN upper({c}) ELSE {c} END AS {c}"
+
+
+_MIXED = {
+    "tabGL Entry": ["name", "posting_date", "debit", "credit", "is_cancelled",
+                    *map(_shouted, ("account", "against", "voucher_subtype"))],
+    "tabAccount": ["name", *map(_shouted, ("account_type", "root_type", "parent_account"))],
+    "tabCustomer": ["lower(name) AS name"],
+}
+_MIXED_SQL = ", ".join(f'{t} AS (SELECT {", ".join(_MIXED[name])} FROM "{name}")' for t, name in (
+    ("gl", "tabGL Entry"), ("acc", "tabAccount"), ("cu", "tabCustomer")))
+
+
+def _mixed_case(v: ErpViews):
+    """ERP tables whose spelling varies from row to row, under the case-insensitive collation."""
+    return collated_source(lambda t: v[t].selectExpr(*_MIXED[t]))
+
+
+@register("income_expense_collated", f"""
+WITH {_MIXED_SQL}
+SELECT lower(acc.parent_account) AS parent_account,
+       CAST(SUM(CASE WHEN lower(root_type) = 'expense' THEN CAST(debit AS DECIMAL(18,4)) - CAST(credit AS DECIMAL(18,4)) END) AS DOUBLE) AS total_expenses,
+       CAST(SUM(CASE WHEN lower(root_type) = 'income' THEN CAST(credit AS DECIMAL(18,4)) - CAST(debit AS DECIMAL(18,4)) END) AS DOUBLE) AS total_income
+FROM gl JOIN acc ON lower(gl.account) = lower(acc.name)
+WHERE lower(root_type) IN ('income', 'expense') AND is_cancelled = 0 AND posting_date {_PERIOD}
+GROUP BY lower(acc.parent_account)""")
+def income_expense_collated(spark, sf_dir):
+    src = _mixed_case(ErpViews(spark, sf_dir))
+    out = L.income_expense(src("tabGL Entry"), src("tabAccount"), START, END)
+    return binary_text(out.withColumn("parent_account", F.lower("parent_account")))
+
+
+@register("cash_received_collated", f"""
+WITH {_MIXED_SQL}
+SELECT lower(gl.account) AS account_name, {dsum('debit')} AS money_in
+FROM gl JOIN acc ON lower(gl.account) = lower(acc.name)
+WHERE is_cancelled = 0 AND posting_date {_PERIOD} AND lower(gl.account) <> 'suspense account nml'
+  AND lower(account_type) IN ('bank', 'cash') AND lower(voucher_subtype) IN ('journal entry', 'receive') AND debit > 0
+  AND lower(against) IN (SELECT lower(name) FROM cu)
+GROUP BY lower(gl.account)""")
+def cash_received_collated(spark, sf_dir):
+    src = _mixed_case(ErpViews(spark, sf_dir))
+    out = L.cash_received(src("tabGL Entry"), src("tabAccount"), src("tabCustomer"), START, END)
+    return binary_text(out.withColumn("account_name", F.lower("account_name")))
+
+
+@register("against_sums_collated", f"""
+WITH {_MIXED_SQL}
+SELECT MIN(against) AS against, {dsum('debit')} AS debit, {dsum('credit')} AS credit
+FROM gl GROUP BY lower(against)""")
+def against_sums_collated(spark, sf_dir):
+    gl = _mixed_case(ErpViews(spark, sf_dir))("tabGL Entry")
+    sums = collated_groups(gl, ["against"], {"debit": money_sum("debit"), "credit": money_sum("credit")})
+    return sums.select("against", *[as_double(c).alias(c) for c in ("debit", "credit")])
