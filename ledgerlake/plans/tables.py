@@ -8,12 +8,19 @@ checks the round trip.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from ledgerlake.operators import integrity as I
+from ledgerlake.operators import model_checks as M
 from ledgerlake.plans.registry import END, START, register, sql_date
+from ledgerlake.sources import chunks as K
 from ledgerlake.sources import extract as X
+from ledgerlake.sources import highwater as H
+from ledgerlake.sources import reconcile as C
 from ledgerlake.sources.fixtures import ErpViews
 
 LOAD_TS = dt.datetime(2026, 1, 1)
@@ -190,3 +197,168 @@ def upsert_stamp(v):
 def assign_keys(v):
     return I.assign_keys(v["customers"].select("customer_name"), ["customer_name"], "customer_id")
 
+
+
+# ---------------------------------------------------------------- S2: chunked scans
+
+@q("scan_chunked", """SELECT name, posting_date, debit, credit FROM "tabGL Entry" """)
+def scan_chunked(v):
+    """Every chunk read by itself, as parallel connections would, and put together again."""
+    gl = v.gl_entry.select("name", "posting_date", "debit", "credit")
+    predicates = K.key_predicates(gl, "posting_date", 4, tie="name")
+    return reduce(DataFrame.unionByName, K.scan_chunks(gl, predicates))
+
+
+@q("scan_chunked_text", """SELECT name, customer, base_grand_total FROM "tabSales Invoice" """)
+def scan_chunked_text(v):
+    si = v.sales_invoice.select("name", "customer", "base_grand_total")
+    return K.scan_chunked(si, "customer", chunk_rows=5_000).drop("chunk")
+
+
+# ---------------------------------------------------------------- S8, S9: pulls with a high-water table
+
+_LATER = dt.datetime(2001, 12, 31)
+_STATES = {   # what the source shows at three times: some rows late, then all, then some changed
+    "first": "modified < TIMESTAMP '1996-01-01 00:00:00' AND NOT (modified >= TIMESTAMP '1995-12-01 00:00:00' AND o_orderkey % 3 = 0)",
+    "second": "modified < TIMESTAMP '1998-01-01 00:00:00'",
+}
+
+
+@q("extract_highwater", f"""SELECT o_orderkey, o_custkey, o_totalprice,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 10 = 0 THEN {_sql_ts(_LATER)} ELSE modified END AS modified FROM ({_ORDERS_MODIFIED}) o""")
+def extract_highwater(v):
+    """Pulls of a table that grows, shows rows late and changes; one pull breaks off, one is repeated."""
+    root = X.scratch_path(v.spark, "extract_highwater")
+    orders, key = _orders_with_modified(v), F.col("o_orderkey") % 10 == 0
+    changed = (orders.withColumn("o_orderstatus", F.when(key, "U").otherwise(F.col("o_orderstatus")))
+               .withColumn("modified", F.when(key, _ts(_LATER)).otherwise(F.col("modified").cast("timestamp_ntz"))))
+    states = [X.frame_source({"tabSales Order": df}) for df in (
+        orders.where(_STATES["first"]), orders.where(_STATES["second"]), changed)]
+    overlap = dt.timedelta(days=31)
+
+    def pull(source):
+        return H.pull(v.spark, source, "tabSales Order", root, overlap=overlap)
+    pull(states[0])
+    _, high = H.mark(v.spark, root, "tabSales Order")
+    H.copy_rows(states[1], "tabSales Order", root, high - overlap)      # breaks off before its commit
+    for source in (states[1], states[2], states[2]):
+        pull(source)
+    return H.read(v.spark, root, "tabSales Order", key="o_orderkey")
+
+
+# ---------------------------------------------------------------- S10: compression
+
+@q("extract_compression", """SELECT name, 'zstd' AS codec FROM "tabSales Order" """)
+def extract_compression(v):
+    res = X.extract_table(_erp_source(v), "tabSales Order", X.scratch_path(v.spark, "extract_compression"),
+                          columns=["name"], compression="zstd")
+    return v.spark.read.parquet(res.path).select("name", F.regexp_extract(
+        F.input_file_name(), r"\.(\w+)\.parquet$", 1).alias("codec"))
+
+
+# ---------------------------------------------------------------- S12: one schema for drifting days
+
+_DAYS = ("""SELECT o_orderkey AS order_id, o_totalprice AS total, CAST(o_orderdate AS DATE) AS day FROM {orders}
+  WHERE o_orderkey % 2 = 0""",
+         """SELECT CASE WHEN o_orderkey % 7 = 0 THEN concat('SO-', CAST(o_orderkey AS {text})) ELSE CAST(o_orderkey AS {text}) END AS order_id,
+  CAST(floor(o_totalprice) AS BIGINT) AS total, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 6 HOUR ELSE o_orderdate END AS day,
+  o_orderpriority AS note FROM {orders} WHERE o_orderkey % 2 = 1""")
+_DAY_SQL = ", ".join(f"d{i} AS ({t.format(orders='orders', text='VARCHAR')})" for i, t in enumerate(_DAYS, 1))
+_ORDER_SCHEMA = StructType([StructField("order_id", LongType()), StructField("total", DoubleType()),
+                            StructField("day", DateType()), StructField("note", StringType())])
+_FITS = "order_id NOT LIKE 'SO-%' AND day = CAST(CAST(day AS DATE) AS TIMESTAMP)"
+
+
+def _days(v) -> list[DataFrame]:
+    days = [v.spark.sql(t.replace("{text}", "STRING"), orders=v.raw("orders")) for t in _DAYS]
+    return [days[0], days[1].withColumn("day", F.col("day").cast("timestamp_ntz"))]
+
+
+@q("reconcile_rows", f"""WITH {_DAY_SQL} SELECT order_id, total, day, CAST(NULL AS VARCHAR) AS note FROM d1
+UNION ALL SELECT CAST(order_id AS BIGINT), CAST(total AS DOUBLE), CAST(day AS DATE), note FROM d2 WHERE {_FITS}""")
+def reconcile_rows(v):
+    return C.conform_days(_days(v), _ORDER_SCHEMA).rows
+
+
+@q("reconcile_rejects", f"""WITH {_DAY_SQL}
+SELECT order_id, 'order_id' AS column_name, order_id AS value, 'bigint' AS target FROM d2 WHERE order_id LIKE 'SO-%'
+UNION ALL SELECT order_id, 'day', strftime(day, '%Y-%m-%d %H:%M:%S'), 'date' FROM d2 WHERE day <> CAST(CAST(day AS DATE) AS TIMESTAMP)""")
+def reconcile_rejects(v):
+    rejects = C.conform_days(_days(v), _ORDER_SCHEMA).rejects
+    return rejects.select(F.get_json_object("row", "$.order_id").alias("order_id"), F.col("column").alias("column_name"),
+                          "value", "target")
+
+
+@q("reconcile_common", f"""WITH {_DAY_SQL} SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(total AS VARCHAR) <> '' AS has_total,
+  CAST(day AS TIMESTAMP) AS day, CAST(NULL AS VARCHAR) AS note FROM d1
+UNION ALL SELECT order_id, CAST(total AS VARCHAR) <> '', day, note FROM d2""")
+def reconcile_common(v):
+    rows = C.conform_days(_days(v)).rows
+    return rows.select("order_id", (F.col("total").cast("string") != "").alias("has_total"), "day", "note")
+
+
+# ---------------------------------------------------------------- S13-S16: the whole model
+
+for _table in ("products", "channels", "purchase_history", "visit_history"):
+    def _typed(table):
+        have = {"products": ("product_sku", "product_name", "unit_price"), "channels": ("channel_id", "channel_name"),
+                "purchase_history": ("customer_id", "product_sku", "channel_id", "quantity", "discount", "order_date"),
+                "visit_history": ("customer_id", "channel_id", "visit_timestamp", "bounce_timestamp")}[table]
+        names = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
+        columns = ", ".join(f"CAST({f.name if f.name in have else 'NULL'} AS {names[f.dataType.simpleString()]}) AS {f.name}"
+                            for f in I.CUSTOMER_MODEL[table].fields)
+        q(f"apply_schema_{table}", f"SELECT {columns} FROM {table}")(
+            lambda v: I.apply_schema(v[table], I.CUSTOMER_MODEL[table]))
+    _typed(_table)
+
+# The model's tables with violations of every constraint.
+_PLANTED = {
+    "customers": """SELECT CASE WHEN customer_id % 77 = 0 THEN NULL ELSE customer_id END AS customer_id,
+  CASE WHEN customer_id % 91 = 0 THEN repeat('x', 200) ELSE customer_name END AS customer_name, phone_number,
+  CASE WHEN customer_id % 17 = 0 THEN repeat('é', 150) ELSE email_address END AS email_address,
+  CASE WHEN customer_id % 13 = 0 THEN repeat('y', 151) ELSE country END AS country, created_at, updated_at FROM {customers}
+  UNION ALL SELECT customer_id, customer_name, phone_number, email_address, country, created_at, updated_at FROM {customers}
+  WHERE customer_id % 50 = 0""",
+    "products": """SELECT product_sku, product_name, unit_price FROM {products}
+  UNION ALL SELECT product_sku, repeat('z', 151), unit_price FROM {products} WHERE product_sku % 60 = 0""",
+    "channels": """SELECT channel_id, channel_name FROM {channels} WHERE channel_id <> 4
+  UNION ALL SELECT channel_id, channel_name FROM {channels} WHERE channel_id = 3""",
+    "purchase_history": """SELECT CASE WHEN customer_id % 37 = 0 THEN customer_id + 1000000 WHEN customer_id % 41 = 0 THEN NULL ELSE customer_id END AS customer_id,
+  CASE WHEN product_sku % 97 = 0 THEN -product_sku ELSE product_sku END AS product_sku, channel_id, quantity, discount,
+  CASE WHEN product_sku % 29 = 0 THEN NULL ELSE order_date END AS order_date FROM {purchase_history}""",
+    "visit_history": """SELECT CASE WHEN customer_id % 43 = 0 THEN -customer_id ELSE customer_id END AS customer_id, channel_id,
+  CASE WHEN channel_id = 2 THEN NULL ELSE visit_timestamp END AS visit_timestamp, bounce_timestamp FROM {visit_history}""",
+}
+
+
+def _model_sql(prefix: str = "planted_") -> str:
+    def row(table, constraint, column, value="CAST(NULL AS VARCHAR)"):
+        return (f"SELECT '{table}' AS table_name, '{constraint}' AS \"constraint\", '{column}' AS column_name, "
+                f"{value} AS value, COUNT(*) AS rows FROM {prefix}{table}")
+    parts = []
+    for table, (key,) in I.PRIMARY_KEYS.items():
+        parts.append(row(table, "primary key", key, f"CAST({key} AS VARCHAR)")
+                     + f" GROUP BY {key} HAVING COUNT(*) > 1 OR {key} IS NULL")
+    for table, refs in I.FOREIGN_KEYS.items():
+        for column, parent, parent_column in refs:
+            parts.append(row(table, "foreign key", column, f"CAST({column} AS VARCHAR)") + f""" WHERE {column} IS NOT NULL AND NOT EXISTS
+  (SELECT 1 FROM {prefix}{parent} p WHERE p.{parent_column} = {prefix}{table}.{column}) GROUP BY {column}""")
+    for table, column in (("purchase_history", "order_date"), ("visit_history", "visit_timestamp")):
+        parts.append(row(table, "not null", column) + f" WHERE {column} IS NULL HAVING COUNT(*) > 0")
+    for table, column in (("customers", "customer_name"), ("customers", "phone_number"), ("customers", "email_address"),
+                          ("customers", "country"), ("products", "product_name"), ("channels", "channel_name")):
+        parts.append(row(table, "length", column) + f" WHERE length({column}) > 150 HAVING COUNT(*) > 0")
+    planted = ", ".join(f"{prefix}{t} AS ({sql.format(**{t: t})})" for t, sql in _PLANTED.items())
+    return (f"WITH {planted}\n" if prefix else "") + "\nUNION ALL ".join(parts)
+
+
+@q("check_model", _model_sql())
+def check_model(v):
+    return M.check_model({t: v.spark.sql(sql, **{t: v[t]}) for t, sql in _PLANTED.items()})
+
+
+@q("check_model_clean", _model_sql(""))
+def check_model_clean(v):
+    """The tables as they are."""
+    return M.check_model({t: v[t] for t in I.CUSTOMER_MODEL})

@@ -123,8 +123,10 @@ def parquet_source(spark: SparkSession, root: str, ds: str | None = None, key: s
             raise ValueError(f"{table} holds daily extracts without {key!r}: name a day")
         order = [F.col(c).desc_nulls_last() for c in (version, "ds") if c in df.columns]
         newest = Window.partitionBy(key).orderBy(*order)
-        return (df.withColumn("__newest", F.row_number().over(newest))
-                .where((F.col("__newest") == 1) | F.col(key).isNull()).drop("__newest", "ds"))
+        keyed = (df.where(F.col(key).isNotNull()).withColumn("__newest", F.row_number().over(newest))
+                 .where(F.col("__newest") == 1).drop("__newest"))
+        # rows without a key go around the window: they are not one group for one task to sort
+        return keyed.unionByName(df.where(F.col(key).isNull())).drop("ds")
     return read
 
 
