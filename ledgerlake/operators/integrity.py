@@ -120,8 +120,13 @@ def upsert_stamp(current: DataFrame, incoming: DataFrame, key: list[str], load_t
     keys); columns that only the batch has are added, except those that only
     order it (``latest_by``).  Of batch rows that
     repeat a key, the one with the greatest ``latest_by`` counts, ties and a
-    missing ``latest_by`` by the greatest values, so the result has one row
-    per key of either side.  Keys compare NULL-safe."""
+    missing ``latest_by`` by the greatest values.  Keys compare NULL-safe, and
+    every row of the table stays one row.
+
+    A full outer join would do the same in one step, but adaptive execution
+    does not split its hot keys; so updates are a left join (split on the
+    table's side) and inserts an anti-join against the table's distinct keys.
+    Repeated batch keys are merged before the shuffle, task by task."""
     created, updated = stamps
     ordering = [c for c in latest_by if c not in current.columns]
     values = [c for c in incoming.columns if c not in key and c not in stamps and c not in ordering]
@@ -132,22 +137,31 @@ def upsert_stamp(current: DataFrame, incoming: DataFrame, key: list[str], load_t
              .select(*[F.col(c).alias(f"__key_{c}") for c in key], "__b", "__in_batch"))
     batch = batch.select(*[f"__key_{c}" for c in key], "__in_batch",
                          *[F.col("__b").getField(c).alias(f"__new_{c}") for c in values])
-    table = current.withColumn("__in_table", F.lit(True))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in key])
-    j = table.join(batch, same, "full_outer")
-    in_batch, existed = F.col("__in_batch").isNotNull(), F.col("__in_table").isNotNull()
+    in_batch = F.col("__in_batch").isNotNull()
     changed = F.lit(False)
     for c in values:
         old = F.col(c) if c in current.columns else F.lit(None)
         changed = changed | ~F.col(f"__new_{c}").eqNullSafe(old)
-    cols = [F.when(existed, F.col(c)).otherwise(F.col(f"__key_{c}")).alias(c) for c in key]
+
+    # Updates: a left join, whose table side adaptive execution splits where a key is hot.
+    cols = [F.col(c) for c in key]
     for c in values:
         new = F.col(f"__new_{c}")
         cols.append((F.when(in_batch, new).otherwise(F.col(c)) if c in current.columns else new).alias(c))
     cols += [F.col(c) for c in kept]
-    cols.append(F.when(existed, F.col(created)).otherwise(load_ts).alias(created))
-    cols.append(F.when(in_batch & (~existed | changed), load_ts).otherwise(F.col(updated)).alias(updated))
-    return j.select(*cols)
+    cols.append(F.col(created))
+    cols.append(F.when(in_batch & changed, load_ts).otherwise(F.col(updated)).alias(updated))
+    updates = current.join(batch, same, "left").select(*cols)
+
+    # Inserts: batch keys that the table lacks; of the table only its distinct keys take part.
+    known = current.select(*key).distinct()
+    fresh = batch.join(known, same, "left_anti")
+    types = {f.name: f.dataType for f in current.schema}
+    inserts = fresh.select(*[F.col(f"__key_{c}").alias(c) for c in key], *[F.col(f"__new_{c}").alias(c) for c in values],
+                           *[F.lit(None).cast(types[c]).alias(c) for c in kept],
+                           load_ts.alias(created), load_ts.alias(updated))
+    return updates.unionByName(inserts)
 
 
 def assign_keys(df: DataFrame, natural_key: list[str], key: str, existing: DataFrame | None = None,

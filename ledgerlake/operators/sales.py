@@ -15,10 +15,11 @@ Scale notes
 
 from __future__ import annotations
 
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DecimalType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ledgerlake.functions import (
     add_item_tax,
@@ -363,3 +364,58 @@ def target_tracker(sales_invoice: DataFrame, as_of, monthly_target=MONTHLY_TARGE
         F.when(F.col("posting_date") >= as_of_c, target + safe_divide(current, remaining))
         .otherwise(F.lit(None).cast("double")).alias("new_daily_sales_target"),
     ).orderBy(F.asc_nulls_first("posting_date"))
+
+
+# --------------------------------------------------------------------------
+# Lines shared among several sales persons
+# --------------------------------------------------------------------------
+
+def persons_of(team: DataFrame, parent: str = "parent", person: str = "sales_person",
+               weight: str | None = None) -> DataFrame:
+    """(parent, persons: array of (person, weight) by name) of every document; a person named twice counts once,
+    with the weights added."""
+    w = (F.col(weight) if weight else F.lit(1)).cast("decimal(18,6)")
+    one = team.where(F.col(person).isNotNull()).groupBy(F.col(parent).alias("__parent"), F.col(person).alias("person")).agg(
+        (F.sum(w) if weight else F.max(w)).alias("weight"))
+    return one.where(F.col("weight") > 0).groupBy("__parent").agg(
+        F.sort_array(F.collect_list(F.struct("person", F.col("weight").cast("decimal(20,6)").alias("weight")))).alias("__persons"))
+
+
+def one_person(team: DataFrame, parent: str = "parent", person: str = "sales_person") -> DataFrame:
+    """(parent, person): one person of every document, the first by name; a lookup by it cannot fan out."""
+    return team.groupBy(parent).agg(F.min(person).alias(person))
+
+
+def allocate(lines: DataFrame, team: DataFrame, document: str, amount: str, out: str = "allocated", scale: int = 2,
+             weight: str | None = None, parent: str = "parent", person: str = "sales_person") -> DataFrame:
+    """``lines`` once for each sales person of their document, with the person's part of ``amount`` in ``out``.
+
+    Parts are whole units of ``10^-scale`` by largest remainder (ties by name), so they add up to the line's
+    amount (rounded to ``scale``) exactly, unlike the plain fan-out, which counts the amount once per person.
+    Equal parts, or parts by ``weight``.  Lines without a person keep one row, a NULL person and the whole amount;
+    a NULL amount stays NULL.  The persons of a document travel as one small array, so a line is never shuffled
+    after it is multiplied.
+    """
+    units = F.round(F.abs(F.col(amount).cast("decimal(28,6)")) * (10 ** scale)).cast("decimal(18,0)")
+    joined = lines.join(persons_of(team, parent, person, weight), F.col(document).eqNullSafe(F.col("__parent")), "left")
+    # weights as whole millionths
+    shares = F.transform("__persons", lambda p: F.struct(p["person"].alias("person"),
+                                                         (p["weight"] * 1_000_000).cast("decimal(18,0)").alias("w")))
+    whole = F.aggregate("__shares", F.lit(0).cast("decimal(18,0)"), lambda a, s: (a + s["w"]).cast("decimal(18,0)"))
+
+    def part(s: Column) -> Column:
+        product = (F.col("__units") * s["w"]).cast("decimal(38,0)")
+        rest = (product % F.col("__whole")).cast("decimal(18,0)")
+        return F.struct((-rest).alias("order"), s["person"].alias("person"),
+                        ((product - rest).cast("decimal(38,0)") / F.col("__whole")).cast("decimal(18,0)").alias("units"))
+    spread = (joined.withColumn("__units", units).withColumn("__shares", shares).withColumn("__whole", whole)
+              .withColumn("__parts", F.array_sort(F.transform("__shares", part))))
+    given = F.aggregate("__parts", F.lit(0).cast("decimal(18,0)"), lambda a, p: (a + p["units"]).cast("decimal(18,0)"))
+    spread = spread.withColumn("__left", (F.col("__units") - given).cast("int"))
+    spread = spread.select("*", F.posexplode_outer("__parts").alias("__place", "__part"))
+    value = (F.when(F.col("__part").isNull(), F.col("__units"))
+             .otherwise(F.col("__part.units") + F.when(F.col("__place") < F.col("__left"), 1).otherwise(0)))
+    signed = F.signum(F.col(amount).cast("decimal(28,6)")).cast("int") * value.cast("decimal(18,0)")
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    return spread.select(*[F.col(c) for c in lines.columns], F.col("__part.person").alias(person),
+                         (signed.cast("decimal(18,0)") * unit).cast(DecimalType(28, scale)).alias(out))

@@ -230,6 +230,27 @@ def j_fanout(v):
     return v.sales_order.join(st, "name", "left").select("name", "customer_name", "sales_person")
 
 
+@q("j_fanout_deduped", """SELECT so.name, so.customer_name, st.sales_person
+FROM "tabSales Order" so LEFT JOIN (SELECT parent, MIN(sales_person) AS sales_person FROM "tabSales Team" GROUP BY parent) st ON so.name = st.parent""")
+def j_fanout_deduped(v):
+    st = S.one_person(v.sales_team).withColumnRenamed("parent", "name")
+    return v.sales_order.join(st, "name", "left").select("name", "customer_name", "sales_person")
+
+
+# Equal shares by largest remainder: whole cents, the first persons by name take what is left over.
+@q("j_fanout_allocated", """WITH team AS (
+  SELECT parent, sales_person, ROW_NUMBER() OVER (PARTITION BY parent ORDER BY sales_person) AS place, COUNT(*) OVER (PARTITION BY parent) AS n
+  FROM (SELECT DISTINCT parent, sales_person FROM "tabSales Team") t),
+lines AS (SELECT parent, CAST(qty * rate * 100 AS BIGINT) AS units FROM "tabSales Order Item")
+SELECT sales_person, CAST(SUM(CASE WHEN n IS NULL THEN units WHEN place <= units % n THEN units // n + 1 ELSE units // n END) AS DOUBLE) / 100 AS amount,
+  COUNT(*) AS lines
+FROM lines LEFT JOIN team ON lines.parent = team.parent GROUP BY sales_person""")
+def j_fanout_allocated(v):
+    lines = v.sales_order_item.select("parent", (F.col("qty") * F.col("rate")).alias("value"))
+    shared = S.allocate(lines.withColumnRenamed("parent", "document"), v.sales_team, "document", "value")
+    return shared.groupBy("sales_person").agg(_d(F.sum("allocated")).alias("amount"), F.count(F.lit(1)).alias("lines"))
+
+
 @q("j_anti", """SELECT gl.name, gl.against, gl.credit FROM "tabGL Entry" gl LEFT JOIN "tabSupplier" sp ON gl.against = sp.name
 WHERE sp.supplier_name IS NULL AND gl.credit > 0""")
 def j_anti(v):
