@@ -116,12 +116,12 @@ def shuffled(df: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = B
     # The first ``more`` shards hold one row more than the others.
     least, more = divmod(rows, shards)
     at, head = F.col(place), more * (least + 1)
-    early = at < head
+    early, late = at, at - head
+    early_slot, late_slot = early % (least + 1), late % max(least, 1)
+    early_shard, late_shard = (early - early_slot) / (least + 1), more + (late - late_slot) / max(least, 1)
     return Sharded(placed.select(
-        *own,
-        F.when(early, F.floor(at / (least + 1))).otherwise(more + F.floor((at - head) / max(least, 1)))
-        .cast("int").alias(shard),
-        F.when(early, at % (least + 1)).otherwise((at - head) % max(least, 1)).cast("long").alias(slot)), shard, slot)
+        *own, F.when(at < head, early_shard).otherwise(late_shard).cast("int").alias(shard),
+        F.when(at < head, early_slot).otherwise(late_slot).cast("long").alias(slot)), shard, slot)
 
 
 def _drawn(counts: DataFrame, bucket: str, n: str, places: str, start: str, partitions: int, seed: int) -> DataFrame:
