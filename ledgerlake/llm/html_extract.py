@@ -16,7 +16,9 @@
 3. Nodes whose text is the same on ``CONSTANT`` of at least ``MIN_PAGES`` pages
    are *template*, the others are *slots*.  The main slot is the node below
    which the slots' text lies; elements that never hold an article (menus,
-   footers, forms, ...) are told by their tag, role and class.
+   footers, forms, ...) are told by their tag, role and class, inside articles
+   only by classes and ids that consist of such words ("comments", "ad-box"),
+   so "related-work" and other slugs stay; headings always do.
 4. A page's text is what it holds where the alignment puts the main slot,
    without template blocks and without such elements (a repeated word inside a
    varying block belongs to its text).  Pages that the pattern
@@ -31,7 +33,9 @@ of pattern pages only when counted to fit ``BROADCAST_HOSTS``; beyond, the joins
 are Spark's choice and adaptive execution splits a hot host.
 
 Defined results: null and empty html give the empty text; unclosed and
-misplaced tags are repaired as browsers do for paragraphs and lists; null urls
+misplaced tags are repaired as browsers do for paragraphs and lists; elements
+may be nested, and lists may be long, without bound (nothing recurses, and long
+lists are aligned exactly); a quote belongs to a tag only after ``=``; null urls
 form one host; repeated rows are read alike; an empty table gives no rows;
 extra columns pass through.
 """
@@ -40,10 +44,13 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -58,12 +65,15 @@ MAIN_SHARE = 0.6
 BROADCAST_BYTES = 32 << 20
 # Layouts (a name and three numbers each) up to which the list of their pattern pages is broadcast.
 BROADCAST_HOSTS = 200_000
-# Products of child counts up to which children are aligned by dynamic programming.
-ALIGN_CELLS = 250_000
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
-                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# Products of child counts from which rows of the alignment are computed by numpy (the result is the same).
+WIDE = 1_024
+
+# As browsers read tags: a quote opens a value only after ``=``.
+_VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
+                    rf"((?:[^>=]++|{_VALUE})*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>=]+)\s*(?:{_VALUE.replace('(?:', '(', 1)})?")
+_TELLING = re.compile("class|id|role|hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset "
@@ -81,6 +91,11 @@ DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense
                        "navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead comment comments "
                        "reply replies disqus respond related recommended share sharing social toolbar pagination "
                        "pager login".split())
+# Words that say where something stands; an id, or a class inside an article, tells only by words of these two kinds.
+PLACE_WORDS = frozenset("area bar block bottom box col column container content footer global group head header holder "
+                        "inner item items left links list main outer page panel primary right row secondary section "
+                        "site slot top unit widget wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body div section center table tbody tr td span".split())
 MAIN = frozenset(("article", "main"))
 _CONTAINER = r"(?i)<(?:article|aside|div|footer|form|header|main|nav|section|table)\b[^>]*"
@@ -90,10 +105,11 @@ _CLASS = r"""(?i)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 class Node:
     """An element: label for the alignment, whether it is dropped, its texts and elements in order."""
 
-    __slots__ = ("tag", "label", "dropped", "parent", "items", "number", "shape", "size", "mass", "digest")
+    __slots__ = ("tag", "label", "dropped", "parent", "inside", "items", "number", "shape", "size", "mass", "digest")
 
     def __init__(self, tag: str, label: str, dropped: bool, parent: Node | None) -> None:
         self.tag, self.label, self.dropped, self.parent = tag, label, dropped, parent
+        self.inside = tag in MAIN or (parent is not None and parent.inside)      # of an article
         self.items: list[str | Node] = []
         self.number = self.shape = self.size = self.mass = self.digest = 0
 
@@ -102,32 +118,51 @@ class Node:
         return [x for x in self.items if type(x) is Node]
 
 
+@lru_cache(maxsize=20_000)
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's label, and whether it is dropped: anywhere, or at least outside of articles."""
+    label, anywhere, outside = tag, tag in DROP_TAGS, False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "class":
+            label = f"{tag}.{value}"
+        if name == "role":
+            anywhere |= value in DROP_ROLES
+        elif name in ("hidden", "aria-hidden"):
+            anywhere |= name == "hidden" or value == "true"
+        elif name in ("class", "id") and tag not in HEADINGS:
+            for token in value.split():
+                words = set(re.findall("[a-z0-9]+", token))
+                told = not DROP_WORDS.isdisjoint(words)
+                anywhere |= told and words <= DROP_WORDS | PLACE_WORDS
+                outside |= told and name == "class"
+    return label, anywhere, outside
+
+
 def _node(tag: str, attributes: str, parent: Node) -> Node:
-    dropped, label = tag in DROP_TAGS, tag
-    if attributes.strip():
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            words = re.findall("[a-z0-9]+", value)
-            if name == "class":
-                label = f"{tag}.{value}"
-            if name == "role":
-                dropped |= value in DROP_ROLES
-            elif name == "hidden" or name == "aria-hidden":
-                dropped |= name == "hidden" or value == "true"
-            else:
-                dropped |= not DROP_WORDS.isdisjoint(words)
-    if tag == "header":
-        up = parent
-        while up is not None and up.tag not in MAIN:
-            up = up.parent
-        dropped |= up is None
-    return Node(tag, label, dropped and tag not in MAIN and tag not in ("html", "body"), parent)
+    label, dropped, outside = _described(tag, attributes if _TELLING.search(attributes) else "")
+    told = dropped
+    if (outside or tag == "header") and not dropped:
+        dropped = not parent.inside
+    if tag in ("html", "body", "main") or (tag == "article" and not told):
+        dropped = False
+    return Node(tag, label, dropped, parent)
 
 
 def parse(source: str) -> Node:
     """The tree of a page below one root, unclosed elements closed."""
     root = here = Node("#root", "#root", False, None)
+    opened: Counter[str] = Counter()         # tags of the open elements: no search for what is not open
     at, end = 0, len(source)
+
+    def up_to(node: Node) -> Node:
+        """Closes the open elements below ``node``."""
+        step = here
+        while step is not node:
+            opened[step.tag] -= 1
+            step = step.parent
+        return node
+
     while at < end:
         m = _TOKEN.match(source, at)
         at = m.end()
@@ -139,16 +174,16 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = up_to(up.parent)
             continue
-        if tag in BLOCK:
-            here = _close(here, ("p",))
-        if tag in CLOSES:
-            here = _close(here, CLOSES[tag])
+        if tag in BLOCK and opened["p"]:
+            here = up_to(_close(here, ("p",)))
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
+            here = up_to(_close(here, CLOSES[tag]))
         node = _node(tag, m[3], here)
         here.items.append(node)
         if tag in VOID or m[3].endswith("/"):
@@ -158,6 +193,7 @@ def parse(source: str) -> Node:
             node.items.append(source[at:stop.start() if stop else end])
             at = stop.end() if stop else end
             continue
+        opened[tag] += 1
         here = node
     return root
 
@@ -199,61 +235,125 @@ def forget() -> None:
         _skeletons.clear()
 
 
-def _pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Positions matched in order so that the matched trees' weights add up highest."""
-    n, m, lo = len(a), len(b), 0
-    while lo < min(n, m) and a[lo] == b[lo]:
+def _ends(a: Sequence[int], b: Sequence[int]) -> tuple[int, int]:
+    """How many entries agree from the front, and of the rest from the back."""
+    least, lo, hi = min(len(a), len(b)), 0, 0
+    while lo < least and a[lo] == b[lo]:
         lo += 1
-    hi = 0
-    while hi < min(n, m) - lo and a[n - 1 - hi] == b[m - 1 - hi]:
+    while hi < least - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
+    return lo, hi
+
+
+def _pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions matched in order so that the matched trees' weights add up highest."""
+    n, m = len(a), len(b)
+    lo, hi = _ends(a, b)
     head = [(i, i) for i in range(lo)]
     tail = [(n - hi + i, m - hi + i) for i in range(hi)]
     a, b = a[lo:n - hi], b[lo:m - hi]
     if not a or not b:
         return head + tail
+    inner = _few(a, b) if len(a) * len(b) < WIDE else _many(a, b)
+    return head + [(i + lo, j + lo) for i, j in inner] + tail
+
+
+def _few(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    best = [[0] * (len(b) + 1)]
+    for x in a:
+        above, row = best[-1], [0]
+        for j, y in enumerate(b, 1):
+            row.append(max(above[j], row[-1], above[j - 1] + weight(x, y)))
+        best.append(row)
+    inner = []
+    i, j = len(a), len(b)
+    while i and j:
+        w = weight(a[i - 1], b[j - 1])
+        if w and best[i][j] == best[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            inner.append((i, j))
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return inner[::-1]
+
+
+def _many(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The same for long lists: row by row, keeping every k-th row (k about the root of their number) and
+    computing the rows between two kept ones again on the way back."""
+    kinds = sorted(set(b))
+    of = np.searchsorted(kinds, b)
+    known: dict[int, np.ndarray] = {}
+
+    def weights(x: int) -> np.ndarray:
+        if x not in known:
+            known[x] = np.array([weight(x, y) for y in kinds], dtype=np.int64)
+        return known[x][of]
+
+    def below(row: np.ndarray, x: int) -> np.ndarray:
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights(x)), out=out[1:])
+        return out
+
+    every = math.isqrt(len(a)) + 1
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    kept = [row]
+    for i, x in enumerate(a, 1):
+        row = below(row, x)
+        if i % every == 0:
+            kept.append(row)
     inner = []
-    if len(a) * len(b) > ALIGN_CELLS:      # very long lists: in order, by label
-        j = 0
-        for i, x in enumerate(a):
-            k = j
-            while k < min(len(b), j + 64) and _kids[b[k]][0] != _kids[x][0]:
-                k += 1
-            if k < min(len(b), j + 64):
-                inner.append((i, k))
-                j = k + 1
-    else:
-        best = [[0] * (len(b) + 1)]
-        for x in a:
-            above, row = best[-1], [0]
-            for j, y in enumerate(b, 1):
-                row.append(max(above[j], row[-1], above[j - 1] + weight(x, y)))
-            best.append(row)
-        i, j = len(a), len(b)
-        while i and j:
+    i, j = len(a), len(b)
+    while i and j:
+        start = (i - 1) // every * every
+        rows = [kept[start // every]]
+        for x in a[start:i]:
+            rows.append(below(rows[-1], x))
+        while i > start and j:
+            here, above = rows[i - start], rows[i - start - 1]
             w = weight(a[i - 1], b[j - 1])
-            if w and best[i][j] == best[i - 1][j - 1] + w:
+            if w and here[j] == above[j - 1] + w:
                 i, j = i - 1, j - 1
                 inner.append((i, j))
-            elif best[i][j] == best[i - 1][j]:
+            elif here[j] == above[j]:
                 i -= 1
             else:
                 j -= 1
-        inner.reverse()
-    return head + [(i + lo, j + lo) for i, j in inner] + tail
+    return inner[::-1]
 
 
 def weight(x: int, y: int) -> int:
     """Nodes matched by the simple tree matching of two shapes."""
     if x == y:
         return _sizes[x]
-    if _kids[x][0] != _kids[y][0]:
+    (label, a), (other, b) = _kids[x], _kids[y]
+    if label != other:
         return 0
-    found = _weights.get((x, y))
-    if found is None:
-        a, b = list(_kids[x][1]), list(_kids[y][1])
-        found = _weights[x, y] = 1 + sum(weight(a[i], b[j]) for i, j in _pairs(a, b))
-    return found
+    if not a or not b:
+        return 1
+    if (x, y) not in _weights:
+        _weigh(x, y)
+    return _weights[x, y]
+
+
+def _weigh(x: int, y: int) -> None:
+    """Weighs a pair of shapes after the pairs of their children, however deep: a stack instead of recursion."""
+    stack = [(x, y)]
+    while stack:
+        x, y = stack[-1]
+        if (x, y) in _weights:
+            stack.pop()
+            continue
+        a, b = _kids[x][1], _kids[y][1]
+        lo, hi = _ends(a, b)
+        missing = [(p, q) for p in set(a[lo:len(a) - hi]) for q in set(b[lo:len(b) - hi]) if p != q and _kids[p][0] == _kids[q][0]
+                   and _kids[p][1] and _kids[q][1] and (p, q) not in _weights]
+        if missing:
+            stack += missing
+        else:
+            _weights[x, y] = 1 + sum(weight(a[i], b[j]) for i, j in _pairs(list(a), list(b)))
+            stack.pop()
 
 
 def measure(root: Node) -> list[Node]:
@@ -325,9 +425,11 @@ def main_slot(nodes: list[Node], template: set[int]) -> Node:
     while here.tag not in MAIN:
         kids = [k for k in here.children if not k.dropped and (k.tag in CONTAINERS or k.tag in MAIN)]
         best = max(kids, key=lambda k: (held[k.number], -k.number), default=None)
-        if best is None or not held[best.number] or (
-                held[best.number] < MAIN_SHARE * held[here.number] and best.tag not in MAIN):
+        if best is None or not held[best.number]:
             break
+        alone = sum(1 for k in kids if k.tag == best.tag and held[k.number]) == 1
+        if held[best.number] < MAIN_SHARE * held[here.number] and not (best.tag in MAIN and alone):
+            break               # spread over several blocks, or over several articles
         here = best
     return here
 
@@ -373,7 +475,7 @@ def extract(source: str, pattern: str | None = None, counts: list[tuple[int, int
         model = from_skeleton(pattern)
         template = {n for n, pages, same in counts if pages >= MIN_PAGES and same >= CONSTANT * pages}
         main = main_slot(model, template)
-        below = [n for n in model if n is main or _under(n, main)]
+        below = _below(model, main)
         fixed = sum(n.mass for n in below if n.number in template)
         if fixed * 2 > sum(n.mass for n in below):     # nothing to tell template from text by
             template, main = set(), main_slot(model, set())
@@ -388,10 +490,13 @@ def extract(source: str, pattern: str | None = None, counts: list[tuple[int, int
     return "\n".join(blocks(slot, without))
 
 
-def _under(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+def _below(nodes: list[Node], top: Node) -> list[Node]:
+    """``top`` and what is below it, of nodes in page order."""
+    inside = {top.number}
+    for node in nodes[top.number + 1:]:
+        if node.parent.number in inside:
+            inside.add(node.number)
+    return [n for n in nodes if n.number in inside]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,3 +137,74 @@ def test_simple_tree_matching_against_brute_force():
     for _ in range(400):
         a, b = tree(3), tree(3)
         assert html_extract.weight(shape(a), shape(b)) == brute_match(a, b)
+
+
+def test_long_lists_are_aligned_like_short_ones():
+    """Row-wise alignment gives the pairs of the plain one, ties included."""
+    rng = random.Random(6)
+    leaves = [html_extract._shape(c, ()) for c in "abc"]
+    trees = leaves + [html_extract._shape("d", tuple(rng.choices(leaves, k=rng.randint(0, 4)))) for _ in range(12)]
+    for _ in range(300):
+        a, b = (rng.choices(trees, k=rng.randint(1, 40)) for _ in "ab")
+        assert html_extract._many(a, b) == html_extract._few(a, b)
+
+
+def test_deep_pages_are_read(spark):
+    def deep(n, depth=5000):
+        return f"<html><body>{'<div>' * depth}<p>deep {n}</p>{'<span>x' * (n % 3)}{'</div>' * (depth if n % 2 else 0)}</body></html>"
+    assert html_extract.extract(deep(0)) == "deep 0"
+    df = spark.createDataFrame([(n, "http://d.example/", deep(n, 1500)) for n in range(14)], "page_id long, url string, html string")
+    read, col = html_extract.extract_pages(df)
+    assert all(r[col].startswith(f"deep {r['page_id']}") for r in read.collect())
+    shapes = []
+    for leaf in "ab":
+        shape = html_extract._shape(leaf, ())
+        for _ in range(3000):
+            shape = html_extract._shape("div", (shape,))
+        shapes.append(shape)
+    assert html_extract.weight(*shapes) == 3000
+
+
+def test_quotes_belong_to_tags_only_after_an_equals_sign():
+    cases = {
+        "<p title=it's>First words here.</p><p>Second don't par.</p><p>Third par.</p>": "First words here.\nSecond don't par.\nThird par.",
+        '<p class="a"">First</p><p>Second "quoted" words</p>': 'First\nSecond "quoted" words',
+        '<p>x <img alt="5" screen"> y</p><p>z</p>': "x y\nz",
+        "<p data-a='1 > 0' class = \"b > c\">in</p>": "in",
+        '<p a=b="c>d</p><p>e</p>': "d\ne",
+        "<p\n id=x\n>new\nline</p>": "new line",
+        '<p title="never closed>lost</p>': "lost",
+    }
+    for source, want in cases.items():
+        assert html_extract.extract(source) == want, source
+    node = html_extract.parse("<div data-class='x' CLASS='Big Box' id=main></div>").children[0]
+    assert node.label == "div.big box"
+
+
+def test_a_constant_block_between_thousands_of_children_is_found(spark):
+    """Blocks of all pages far apart in very long lists."""
+    def page(n, many=3000):
+        kinds = ["ul" if (i + n * (n % 2)) % 3 else "ol" for i in range(many if n % 2 else 100)]
+        own = "".join(f"<p>{n} item {i}</p><{k}></{k}>" for i, k in enumerate(kinds))
+        cut = own.index("<p>", len(own) // 2)
+        return f"<html><body><div class='wrap'>{own[:cut]}<div class='x'>Terms apply</div>{own[cut:]}</div></body></html>"
+    df = spark.createDataFrame([(n, "http://l.example/", page(n)) for n in range(12)], "page_id long, url string, html string")
+    read, col = html_extract.extract_pages(df)
+    got = {r["page_id"]: r[col] for r in read.collect()}
+    assert all("Terms apply" not in t and t.count("\n") == (2999 if n % 2 else 99) for n, t in got.items())
+
+
+def test_slugs_inside_articles_stay():
+    source = ("<body><div id='sidebar'>side</div><article><h2 id='social-impact'>Social impact</h2><section id='related-work'><p>Before us</p>"
+              "</section><p id='share-prices'>Shares fell</p><h3 class='share'>Sharing data</h3><div class='comment-list'>no</div>"
+              "<div class='social-science'>yes</div><div id='comments'>no</div></article><div class='promo-teaser'>no</div></body>")
+    assert html_extract.extract(source) == "Social impact\nBefore us\nShares fell\nSharing data\nyes"
+
+
+def test_several_articles_are_all_read():
+    two = "<body><nav>m</nav><main><article><p>one long text</p></article><article><p>two long text</p></article></main></body>"
+    assert html_extract.extract(two) == "one long text\ntwo long text"
+    plain = two.replace("main>", "div>")
+    assert html_extract.extract(plain) == "one long text\ntwo long text"
+    with_comments = "<body><article><p>the text</p></article><article class='comment'><p>a reader's long remark</p></article></body>"
+    assert html_extract.extract(with_comments) == "the text"
