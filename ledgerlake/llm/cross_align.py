@@ -69,11 +69,8 @@ class ByteLevel:
         for token, ident in ranks.items():
             self.texts[ident] = token
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.model.encode_ordinary(" " + t) for t in texts]
-
-    def joined(self, ids: list[int]) -> bytes:
-        return self.model.decode_bytes(ids)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.model.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
 
 
 class Pieces:
@@ -113,34 +110,39 @@ def first_difference(a: list[int], b: list[int], i: int, j: int) -> int:
 
 
 def alignment(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """For each group the place after its last token, in a and in b.  The arrays end at the same offset."""
-    to_a: list[int] = []
-    to_b: list[int] = []
+    """The tokens of a, and of b, that end inside a group; all others end one.  The arrays end at the same offset."""
+    inner_a: list[int] = []
+    inner_b: list[int] = []
     i = j = 0
     n = len(ends_a)
     while i < n:
         x, y = ends_a[i], ends_b[j]
         if x == y:
             same = first_difference(ends_a, ends_b, i, j)
-            to_a += range(i + 1, i + same + 1)
-            to_b += range(j + 1, j + same + 1)
             i += same
-            j += same
             if i == n:
                 break
+            j += same
             x, y = ends_a[i], ends_b[j]
         while x != y:             # an irregular group: the end that lags moves on, and the shift with it
             if x < y:
+                inner_a.append(i)
                 i += 1
                 x = ends_a[i]
             else:
+                inner_b.append(j)
                 j += 1
                 y = ends_b[j]
         i += 1
         j += 1
-        to_a.append(i)
-        to_b.append(j)
-    return to_a, to_b
+    return inner_a, inner_b
+
+
+def _places(n: int, inner: list[int]) -> np.ndarray:
+    """The place after each token of ``n`` that is not among ``inner``."""
+    ends = np.ones(n, dtype=bool)
+    ends[inner] = False
+    return np.flatnonzero(ends) + 1
 
 
 class Aligner:
@@ -157,13 +159,15 @@ class Aligner:
         return [self._one(t, x, y) if t else (0, 0, 0, 0, "", (), ())
                 for t, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts))]
 
-    def _one(self, text: str, a: list[int], b: list[int]) -> tuple:
+    def _one(self, text: str, a: np.ndarray, b: list[int]) -> tuple:
         data = (" " + text).encode()
-        if self.a.joined(a) != data or self.b.joined(b) != data:
+        ids_a, ids_b = a.astype(np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
+        # Byte-level tokens are the text's own bytes in order, so their number tells that none is missing.
+        if ends_a[-1] != len(data) or ends_b[-1:].tolist() != [len(data)] or self.b.joined(b) != data:
             return 0, 0, 0, 0, "", (), ()
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        to_a, to_b = map(np.array, alignment(np.cumsum(self.sizes[0][ids_a]).tolist(),
-                                             np.cumsum(self.sizes[1][ids_b]).tolist()))
+        inner_a, inner_b = alignment(ends_a.tolist(), ends_b.tolist())
+        to_a, to_b = _places(len(a), inner_a), _places(len(b), inner_b)
         from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
         n_a, n_b = to_a - from_a, to_b - from_b
         groups = self._write(ids_a, ids_b, to_a, from_b, to_b, n_a, n_b)
@@ -224,6 +228,7 @@ def aligner(spec_a: str, model_b: str) -> Aligner:
 
 _OUT = pa.struct([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                   ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
+# Texts whose tokens are Python objects at a time.
 TEXTS_AT_ONCE = 64
 
 
@@ -242,10 +247,12 @@ def align(df: DataFrame, byte_level: str, pieces: str, text_col: str = "text") -
     @F.arrow_udf("n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>")
     def aligned(texts: pa.Array) -> pa.Array:
         model = aligner(spec, proto)
-        rows = [r for at in range(0, len(texts), TEXTS_AT_ONCE)
-                for r in model.align(texts.slice(at, TEXTS_AT_ONCE).to_pylist())]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)],
-                                          fields=list(_OUT))
+        parts = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            rows = model.align(texts.slice(at, TEXTS_AT_ONCE).to_pylist())
+            parts.append(pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type)
+                                                     for k, f in enumerate(_OUT)], fields=list(_OUT)))
+        return pa.concat_arrays(parts) if parts else pa.array([], _OUT)
 
     name, = fresh(df.columns, "aligned")
     return df.withColumn(name, aligned(F.coalesce(named(text_col), F.lit("")))), name
