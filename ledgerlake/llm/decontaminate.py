@@ -7,21 +7,20 @@ leaks into a document when some window of the document with as many shingles
 as the item has a weighted-shingle (multiset Jaccard) similarity of 0.8 or
 more with it.
 
-1. *Windows.*  A window that similar shares shingles with the item, so windows
-   are laid only where a shingle of the document is one of the benchmark's:
-   the occurrence's offset inside the item gives the window's place, clipped to
-   the document.  A window that starts between two such places (words inserted
-   or deleted inside the passage) is not laid.
+1. *Windows.*  A window that similar shares at least ``0.8 / 1.8`` of both
+   sizes with the item, so that many of its places hold a shingle of an item of
+   that size.  Windows are laid at every start where they do, found from the
+   sorted list of such places: no similar window is missed, wherever words were
+   inserted, deleted or moved, and prose that shares a phrase lays none.
 2. *Fingerprints.*  Windows and items get 64-bit SimHashes of their shingle
    hashes, every occurrence weighing one.
-3. *Multi-index.*  Fingerprints are cut into ``radius + 1`` blocks; two within
-   ``radius`` bits agree on at least one (pigeonhole).  Windows meet items of
-   their size that share a block, and pairs within the radius are candidates.
-4. *Verification.*  Candidates are compared by the exact weighted similarity of
-   their shingle multisets.
-
-The radius of 15 is what similarity 0.8 asks for: two multisets that similar
-differ in 9.7 of 64 bits on average, with a standard deviation of 2.9.
+3. *Multi-index.*  Fingerprints are cut into four blocks of 16 bits; two within
+   ``radius`` bits differ in at most ``radius / 4`` bits of at least one
+   (pigeonhole).  Items are entered under all block values that near (697 of
+   65,536 for the default radius), windows look up their own; pairs within the
+   radius are candidates.  Only numbers and fingerprints travel here.
+4. *Verification.*  Candidates fetch their shingles and are compared by the
+   exact weighted similarity of the multisets.
 
 Skew.  The benchmark's shingles are broadcast only when counted to fit
 ``BROADCAST_SHINGLES``, and joined by Spark's own choice beyond.  A passage in
@@ -36,6 +35,8 @@ clean, an empty table gives no rows; extra columns pass through.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,23 +71,40 @@ def simhash(hashes: str) -> Column:
         THEN bits | shiftleft(1L, b) ELSE bits END)""")
 
 
-def _cuts(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of the ``radius + 1`` blocks of 64 bits."""
-    at = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(at, at[1:])]
+BLOCKS, WIDTH = 4, 16
 
 
-def blocks(fingerprint: str, radius: int) -> Column:
+def blocks(fingerprint: str) -> Column:
     """(block, bits) of the blocks of a fingerprint."""
     return F.array(*[F.struct(F.lit(i).alias("block"), F.expr(
-        f"shiftrightunsigned({fingerprint}, {shift}) & {(1 << width) - 1}L").alias("bits"))
-        for i, (shift, width) in enumerate(_cuts(radius))])
+        f"CAST(shiftrightunsigned({fingerprint}, {i * WIDTH}) & {(1 << WIDTH) - 1}L AS INT)").alias("bits"))
+        for i in range(BLOCKS)])
+
+
+def near_blocks(fingerprint: str, radius: int) -> Column:
+    """``blocks`` with every value within the errors that a block of a pair within ``radius`` may have."""
+    masks = [sum(1 << k for k in places) for errors in range(radius // BLOCKS + 1)
+             for places in combinations(range(WIDTH), errors)]
+    return F.flatten(F.transform(blocks(fingerprint), lambda b: F.transform(
+        F.lit(masks), lambda x: F.struct(b["block"].alias("block"), b["bits"].bitwiseXOR(x).alias("bits")))))
 
 
 def first_agreement(a: str, b: str, radius: int) -> Column:
-    """The number of the first block on which two fingerprints agree (-1: none)."""
-    same = [f"shiftrightunsigned({a} ^ {b}, {shift}) & {(1 << width) - 1}L = 0" for shift, width in _cuts(radius)]
-    return F.expr(f"array_position(array({', '.join(same)}), true) - 1")
+    """The number of the first block on which two fingerprints differ as little as the pigeonhole asks (-1: none)."""
+    near = [f"bit_count(shiftrightunsigned({a} ^ {b}, {i * WIDTH}) & {(1 << WIDTH) - 1}L) <= {radius // BLOCKS}"
+            for i in range(BLOCKS)]
+    return F.expr(f"array_position(array({', '.join(near)}), true) - 1")
+
+
+def starts(places: str, n: str, m: str, threshold: float) -> Column:
+    """The starts of windows of ``m`` shingles (all ``n`` of a shorter text) of which enough are among the sorted
+    ``places``."""
+    size = f"least({m}, {n})"
+    need = f"greatest(1, CAST(ceil({threshold} * ({size} + {m}) / {1 + threshold} - 1e-9) AS INT))"
+    return F.expr(f"""CASE WHEN size({places}) >= {need} THEN array_distinct(flatten(transform(
+        sequence(0, size({places}) - {need}), k -> CASE WHEN {places}[k + {need} - 1] - {places}[k] < {size}
+        THEN sequence(greatest(0, {places}[k + {need} - 1] - {size} + 1), least({places}[k], {n} - {size}))
+        ELSE CAST(array() AS ARRAY<INT>) END))) ELSE CAST(array() AS ARRAY<INT>) END""")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -106,41 +124,47 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     items = shingles(items.select(named(item_col).alias("item_id"), named(item_text_col).alias("t")),
                      F.col("t"), "item_shingles").filter(F.size("item_shingles") > 0)
-    items = shared(items.select("item_id", "item_shingles", F.size("item_shingles").alias("m"),
-                                simhash("item_shingles").alias("item_fp")))
-    index = (items.select("m", F.posexplode("item_shingles").alias("offset", "shingle"))
-             .groupBy("shingle", "m", "offset").agg(F.lit(1).alias("one")).select("shingle", "m", "offset"))
+    items = shared(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "item_shingles",
+                                F.size("item_shingles").alias("m"), simhash("item_shingles").alias("item_fp")))
+    held = shared(windows(docs, items, id_col, text_col, threshold)
+                  .select(F.monotonically_increasing_id().alias("window"), "id", "row_key", "start", "m", "w",
+                          simhash("w").alias("fp")))
+    entry = items.select("item", "m", "item_fp", F.inline(near_blocks("item_fp", radius)))
+    pairs = (held.select("window", "m", "fp", F.inline(blocks("fp"))).join(entry, ["m", "block", "bits"])
+             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+             # of the blocks on which a pair agrees, the first one reports it
+             .filter(F.col("block") == first_agreement("fp", "item_fp", radius)).select("window", "item"))
+    meets = (pairs.join(held.select("window", "id", "row_key", "start", "w"), "window")
+             .join(items.select("item", "item_id", "item_shingles"), "item")
+             .withColumn("similarity", similarity("w", "item_shingles"))
+             .filter(F.col("similarity") >= threshold))
+    return meets.select("id", "row_key", "item_id", "start", "similarity").distinct()
+
+
+def windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            threshold: float = SIMILARITY) -> DataFrame:
+    """(id, row_key, m, start, w) of every window that may be similar to one of the ``items`` (item_shingles, m)."""
+    index = items.select("m", F.explode("item_shingles").alias("shingle")).distinct()
     if index.count() <= BROADCAST_SHINGLES:
         index = F.broadcast(index)
-
     texts = docs.select(named(id_col).alias("id"), row_key(docs, id_col, text_col).alias("row_key"),
                         named(text_col).alias("t"))
     found = shingles(texts, F.col("t"), "s").select("id", "row_key", "s")
     # The outer form: for the inner one the optimizer would add a filter on the
     # array and copy the words' expression into the shingles' lambda.
-    windows = (found.select("id", "row_key", F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "shingle"))
-               .join(index, "shingle")
-               .select("id", "row_key", "m", F.greatest(F.lit(0), F.least(
-                   F.col("pos") - F.col("offset"), F.col("n") - F.col("m"))).alias("start"))
-               .distinct())
-    places = shared(windows.groupBy("id", "row_key").agg(F.collect_set(F.struct("m", "start")).alias("places")))
+    known = (found.select("id", "row_key", F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "shingle"))
+             .join(index, "shingle").groupBy("id", "row_key", "m")
+             .agg(F.sort_array(F.collect_set("pos")).alias("places"), F.max("n").alias("n")))
+    laid = known.select("id", "row_key", "m", starts("places", "n", "m", threshold).alias("starts"))
+    places = shared(laid.filter(F.size("starts") > 0).groupBy("id", "row_key")
+                    .agg(F.collect_list(F.struct("m", "starts")).alias("places")))
 
     # The windows' shingles come from a second look at the documents that have any.
     texts = texts.withColumnsRenamed({"id": "own_id", "row_key": "own_key"})
     held = texts.join(places, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("row_key")))
-    held = shingles(held, F.col("t"), "s").select("id", "row_key", "s", F.explode("places").alias("place"))
-    held = shared(held.select("id", "row_key", F.col("place.m").alias("m"), F.col("place.start").alias("start"),
-                        F.slice("s", F.col("place.start") + 1, F.col("place.m")).alias("w"))
-            .withColumn("fp", simhash("w")))
-    entry = items.select("item_id", "item_shingles", "m", "item_fp", F.inline(blocks("item_fp", radius)))
-    meets = (held.select("id", "row_key", "start", "w", "m", "fp", F.inline(blocks("fp", radius)))
-             .join(entry, ["m", "block", "bits"])
-             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-             # of the blocks on which a pair agrees, the first one reports it
-             .filter(F.col("block") == first_agreement("fp", "item_fp", radius))
-             .withColumn("similarity", similarity("w", "item_shingles"))
-             .filter(F.col("similarity") >= threshold))
-    return meets.select("id", "row_key", "item_id", "start", "similarity").distinct()
+    held = shingles(held, F.col("t"), "s").select("id", "row_key", "s", F.inline("places"))
+    held = held.select("id", "row_key", "s", "m", F.explode("starts").alias("start"))
+    return held.select("id", "row_key", "m", "start", F.expr("slice(s, start + 1, m)").alias("w"))
 
 
 def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
