@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from corpus_fixtures import docs  # noqa: F401
 from ledgerlake.llm import components, exact_dedup, simhash_dedup
 
@@ -58,6 +60,36 @@ def test_exact_groups_against_brute_force(spark, docs):
     assert marked.kept != "kept"          # the input's own column is left alone
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few", "own"])
+def test_hot_texts_are_split_whatever_their_ids(spark, docs, ids):
+    """Half of the rows are copies of one text, with no ids, one id, a few, or their own."""
+    def doc(i):
+        return {"null": None, "one": 7, "few": i % 3, "own": 5000 + i}[ids]
+    rows = [(doc(i), "hot  text" if i % 5 else "hottext") for i in range(3000)]
+    rows += [(10_000 + i, f"text {i // 2}") for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        marked = exact_dedup.mark_duplicates(docs(rows))
+        plan = marked.rows
+        got = plan.collect()
+        tasks = plan.withColumn("task", F.spark_partition_id()).filter("text LIKE 'hot%'").groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 6000
+    hot = [r for r in got if r["text"].startswith("hot")]
+    best = min((r for r in hot if r["text"] == "hot  text"), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))["doc_id"]
+    assert {(r[marked.keep_id], r[marked.group_size]) for r in hot} == {(best, 3000)}
+    assert [(r["doc_id"], r["text"]) for r in hot if r[marked.kept]] == [(best, "hot  text")]
+    assert sum(r[marked.kept] for r in got) == 1501
+    if ids == "own":
+        assert max(r["count"] for r in tasks) < 2000
+
+
+def test_exact_dedup_exchanges_the_text_once(docs):
+    plan = exact_dedup.mark_duplicates(docs([(i, f"t{i}") for i in range(50)])).rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "Python" not in plan
+
+
 def test_exact_drop_keeps_columns_and_one_of_repeated_rows(docs):
     df = docs([(1, "x"), (1, "x"), (None, "y"), (None, "y"), (3, None), (2, " ")])
     kept = exact_dedup.drop_duplicates(df)
