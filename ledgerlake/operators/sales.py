@@ -29,6 +29,7 @@ from ledgerlake.functions import (
     days_in_month,
     first_non_blank,
     last_n_days,
+    money,
     money_sum,
     month_end,
     month_start,
@@ -185,6 +186,19 @@ def open_order_lines(sales_order: DataFrame, sales_order_item: DataFrame, sales_
 
     One row per line and sales person of the order (0..n persons: a line of
     an order without one appears once with NULL)."""
+    # The qualifying orders are read once: all three tables meet on the order
+    # key, so each is exchanged at most once and the joins share the exchange.
+    team = sales_team.select(F.col("parent").alias("sales_order_id"), "sales_person")
+    lines = _open_lines(sales_order, sales_order_item, as_of, days, max_delivered, closed, skip_items, replay)
+    return lines.join(team, "sales_order_id", "left").select(
+        "customer_name", "sales_order_id", "order_date", "delivery_date", "sales_person", "item_code",
+        "item_name", "quantity_in_tonnes", "product_amount")
+
+
+def _open_lines(sales_order: DataFrame, sales_order_item: DataFrame, as_of, days: int,
+                max_delivered: float = MAX_DELIVERED_PCT, closed=CLOSED_ORDER_STATES, skip_items=SKIPPED_ITEMS,
+                replay: bool = False) -> DataFrame:
+    """The lines of ``open_order_lines``, each once."""
     orders = (submitted(sales_order)
               .where((F.col("per_delivered") <= F.lit(max_delivered))
                      & last_n_days(F.to_date("transaction_date"), as_of, days, replay)
@@ -196,18 +210,28 @@ def open_order_lines(sales_order: DataFrame, sales_order_item: DataFrame, sales_
              .select(F.col("parent").alias("sales_order_id"), "item_code", "item_name", "weight_per_unit",
                      add_item_tax("rate", "item_tax_template").alias("rate"),
                      (F.col("qty") - F.col("delivered_qty")).alias("qty_to_deliver")))
-    # The qualifying orders are read once: all three tables meet on the order
-    # key, so each is exchanged at most once and the joins share the exchange.
-    team = sales_team.select(F.col("parent").alias("sales_order_id"), "sales_person")
-    lines = orders.join(items, "sales_order_id", "inner").join(team, "sales_order_id", "left")
+    lines = orders.join(items, "sales_order_id", "inner")
     bags = cap_to_truckload("qty_to_deliver", "weight_per_unit", "currency")
     rate = to_base_currency("rate", "currency", "conversion_rate")
     return lines.select(
-        "customer_name", "sales_order_id", "order_date", "delivery_date", "sales_person", "item_code",
+        "customer_name", "sales_order_id", "order_date", "delivery_date", "item_code",
         "item_name", line_tonnes("weight_per_unit", bags).alias("quantity_in_tonnes"),
         line_value(bags, rate).alias("product_amount"))
 
 
+def _with_persons(lines: DataFrame, sales_team: DataFrame) -> DataFrame:
+    """Each line once, with its order's first person by name and ``times``, how often the plain join with the
+    team would count it: the reports sum ``times`` the line instead of summing copies of it."""
+    team = sales_team.groupBy(F.col("parent").alias("sales_order_id")).agg(
+        F.count(F.lit(1)).alias("times"), F.min("sales_person").alias("sales_person"))
+    return (lines.join(team, "sales_order_id", "left")
+            .withColumn("times", F.coalesce("times", F.lit(1)).cast("decimal(9,0)")))
+
+
+def _times(amount: str) -> Column:
+    return F.sum(money(amount) * F.col("times"))
+
+
 def sales_on_day(sales_invoice: DataFrame, company: DataFrame, customer: DataFrame, as_of) -> DataFrame:
     """One row: submitted sales posted on ``as_of`` for a known company and
     customer (NULL when there are none).  The two joins only test existence
@@ -227,9 +251,9 @@ def to_deliver_by_customer(sales_order, sales_order_item, sales_team, sales_invo
     """Bags to deliver per customer and item, then three labelled rows:
     the grand total, today's sales and the fixed daily target.  The detail
     and its total come from one aggregation (``detail_and_total``)."""
-    lines = open_order_lines(sales_order, sales_order_item, sales_team, as_of, days, replay=replay)
+    lines = _with_persons(_open_lines(sales_order, sales_order_item, as_of, days, replay=replay), sales_team)
     keys = ["customer_name", "item_code", "item_name"]
-    detail = sums_with_min_text(lines, keys, {"tq": money_sum("quantity_in_tonnes"), "ta": money_sum("product_amount")},
+    detail = sums_with_min_text(lines, keys, {"tq": _times("quantity_in_tonnes"), "ta": _times("product_amount")},
                                 "sales_person").withColumn("tq", _round2(F.col("tq")))
     both = detail_and_total(detail, keys, [F.min("sales_person").alias("sales_person"),
                                            _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta")])
@@ -253,13 +277,13 @@ def to_deliver_by_order(sales_order, sales_order_item, sales_team, sales_invoice
                         as_of=None, days: int = 14, monthly_target=MONTHLY_TARGET, replay: bool = False) -> DataFrame:
     """Bags to deliver per order and item with the order's age in days,
     then the totals, today's sales and the fixed daily target."""
-    lines = open_order_lines(sales_order, sales_order_item, sales_team, as_of, days, replay=replay)
+    lines = _with_persons(_open_lines(sales_order, sales_order_item, as_of, days, replay=replay), sales_team)
     keys = ["sales_order_id", "customer_name", "item_code", "item_name"]
     # Hash aggregation first (see ``sums_with_min_text``): the text MIN then
     # sees a few rows per key; the dates are the order's own, one per key.
     parts = lines.groupBy(*keys, "sales_person").agg(
         F.min("order_date").alias("order_date"), F.min("delivery_date").alias("delivery_date"),
-        money_sum("quantity_in_tonnes").alias("tq"), money_sum("product_amount").alias("ta"))
+        _times("quantity_in_tonnes").alias("tq"), _times("product_amount").alias("ta"))
     detail = parts.groupBy(*keys).agg(
         F.min("order_date").alias("order_date"), F.min("delivery_date").alias("delivery_date"),
         F.min("sales_person").alias("sales_person"), _round2(F.sum("tq")).alias("tq"), F.sum("ta").alias("ta"))

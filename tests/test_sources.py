@@ -96,6 +96,15 @@ def test_scan_query_with_quoted_table_and_parameters(spark):
     assert [r[0] for r in out.collect()] == ["A"]
 
 
+def test_scan_queries_do_not_touch_the_session_views(spark):
+    spark.range(3).createOrReplaceTempView("tabItem")
+    src = X.frame_source({"tabItem": spark.createDataFrame([("A", 1), ("B", 2)], "name string, qty int")})
+    one = X.scan_query(spark, src, ["tabItem"], "SELECT tabItem.name, '{x}' AS b FROM tabItem WHERE qty < :q", args={"q": 2})
+    two = X.scan_query(spark, src, ["tabItem"], " with a as (SELECT max(qty) AS q FROM `tabItem`) SELECT q FROM a")
+    assert [tuple(r) for r in one.collect()] == [("A", "{x}")] and two.first()[0] == 2
+    assert spark.table("tabItem").columns == ["id"]
+
+
 def test_check_pk_fk_columns(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "x" * 151)], "k int, s string")
     assert sorted((r["k"], r["rows"]) for r in I.check_pk(df, ["k"]).collect() if r["k"] is not None) == [(1, 2)]
