@@ -126,7 +126,7 @@ def _url_oracle() -> str:
     hosts = sorted((r for r in URL_RULES if r.host), key=lambda r: -len(r.text))
     fits = {r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in hosts}
     blocked = " OR ".join(
-        "regexp_matches(host || path, '(^|[^A-Za-z0-9])" + "[^A-Za-z0-9]+".join(r.literals) + "($|[^A-Za-z0-9])')"
+        "regexp_matches(host || path, '(^|[^A-Za-z0-9])" + "[^A-Za-z0-9]+".join(r.literals) + "($|[^A-Za-z0-9])', 'i')"
         for r in URL_RULES if not r.host)
     return f"""
 WITH u AS (

@@ -2,12 +2,15 @@
 
 A rule is a host and path pair or a regular expression; both are compiled to
 one expression over ``host + path`` with a set of *literal tokens* (runs of
-letters and digits) that every matching URL must contain.  Each rule is filed
-under the one of its tokens that is rarest among the URLs at hand, counted
-over all rows by a Spark aggregate that keeps the rules' own tokens only (so
-the counts are as small as the rule list).  A URL's tokens fetch the candidate
-rules, and only those run their expressions.  Rules without a literal token
-are candidates for every URL.
+letters and digits, case ignored) that every matching URL must contain.  Each
+rule is filed under the one of its tokens that is rarest among the URLs at hand,
+counted over all rows by a join with the table of the rules' tokens (so the
+counts are as small as the rule list).  A URL's tokens fetch the candidate
+rules, and only those run their expressions, which are compiled when first
+needed.  Rules without a literal token are candidates for every URL.
+
+Rules are a list or come from a table (``rules_from``), up to ``MAX_RULES``;
+lists of that size are what a filter of the web's advert and scam hosts holds.
 
 Verdict: the longest host and path rule that fits decides.  Without one, the
 pattern rules do: any that matches blocks; otherwise the URL is allowed.
@@ -23,6 +26,7 @@ no rows; extra columns pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -34,6 +38,9 @@ from ledgerlake.llm.common import fresh, named
 
 TOKEN = r"[A-Za-z0-9]+"
 _TOKEN = re.compile(TOKEN)
+# Rules that the driver and each worker hold (about 0.5 KB each), and rule tokens up to which their table is broadcast.
+MAX_RULES = 1_000_000
+BROADCAST_TOKENS = 500_000
 
 
 @dataclass(frozen=True)
@@ -58,11 +65,11 @@ class Rule:
 
     @property
     def tokens(self) -> tuple[str, ...]:
-        """Whole tokens of every URL that the rule matches (a path's last token may be cut short)."""
+        """Whole tokens, lower-cased, of every URL that the rule matches (a path's last token may be cut short)."""
         if not self.host:
-            return self.literals
+            return tuple(dict.fromkeys(t.lower() for t in self.literals))
         inner = [m.group() for m in _TOKEN.finditer(self.path) if m.end() < len(self.path)]
-        return tuple(dict.fromkeys([*_TOKEN.findall(self.host), *inner]))
+        return tuple(dict.fromkeys(t.lower() for t in [*_TOKEN.findall(self.host), *inner]))
 
 
 def host_rule(verdict: str, text: str) -> Rule:
@@ -71,9 +78,19 @@ def host_rule(verdict: str, text: str) -> Rule:
 
 
 def pattern_rule(*words: str) -> Rule:
-    """Blocks URLs that hold these words, in order, as whole tokens next to each other."""
+    """Blocks URLs that hold these words, in order, as whole tokens next to each other, in any case."""
     inner = r"[^A-Za-z0-9]+".join(map(re.escape, words))
-    return Rule("block", pattern=rf"(?<![A-Za-z0-9]){inner}(?![A-Za-z0-9])", literals=words)
+    return Rule("block", pattern=rf"(?ai)(?<![A-Za-z0-9]){inner}(?![A-Za-z0-9])", literals=words)
+
+
+def rules_from(df: DataFrame, verdict_col: str = "verdict", rule_col: str = "rule") -> list[Rule]:
+    """Rules of a table, in the order of their texts: ``host/path`` rules with their verdict, and words to block
+    (rules without a ``/``, words apart by blanks).  NULL and empty rules are left out, repeated ones come once."""
+    rows = (df.select(F.coalesce(named(verdict_col), F.lit("block")).alias("v"), F.trim(named(rule_col)).alias("r"))
+            .filter("r <> ''").distinct().orderBy("r", "v").limit(MAX_RULES + 1).collect())
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [host_rule(x["v"], x["r"]) if "/" in x["r"] else pattern_rule(*x["r"].split()) for x in rows]
 
 
 # What the method blocks by itself when no host rule decides.
@@ -92,14 +109,17 @@ def path_of(url: Column) -> Column:
 
 
 def token_counts(hosts_and_paths: DataFrame, column: str, tokens: Iterable[str]) -> dict[str, int]:
-    """How many rows hold each of the given tokens; as many counts as tokens."""
+    """How many rows hold each of the given (lower-cased) tokens; as many counts as tokens."""
     tokens = sorted(set(tokens))
     if not tokens:
         return {}
-    words = F.array_distinct(F.regexp_extract_all(named(column), F.lit(f"({TOKEN})"), F.lit(1)))
-    found = (hosts_and_paths.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, tokens)))).alias("token"))
+    spark = hosts_and_paths.sparkSession
+    known = spark.createDataFrame(pa.table({"token": pa.array(tokens, pa.string())}))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(named(column)), F.lit(f"({TOKEN})"), F.lit(1)))
+    found = (hosts_and_paths.select(F.explode(words).alias("token"))
+             .join(F.broadcast(known) if len(tokens) <= BROADCAST_TOKENS else known, "token", "left_semi")
              .groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect())
-    return {t: 0 for t in tokens} | {r["token"]: r["n"] for r in found}
+    return dict.fromkeys(tokens, 0) | {r["token"]: r["n"] for r in found}
 
 
 class RuleIndex:
@@ -107,21 +127,33 @@ class RuleIndex:
 
     def __init__(self, rules: Iterable[Rule], counts: dict[str, int]) -> None:
         self.rules = list(rules)
-        self.compiled = [re.compile(r.expression, re.S) for r in self.rules]
+        self.compiled: dict[int, re.Pattern] = {}
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
-        for i, rule in enumerate(self.rules):
-            if rule.tokens:
-                rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), t))
+        each = [r.tokens for r in self.rules]
+        # of tokens as rare among the URLs, the one that fewer rules share
+        shared_by = Counter(t for tokens in each for t in tokens)
+        for i, tokens in enumerate(each):
+            if tokens:
+                rarest = min(tokens, key=lambda t: (counts.get(t, 0), shared_by[t], t))
                 self.by_token.setdefault(rarest, []).append(i)
             else:
                 self.always.append(i)
 
+    def candidates(self, target: str) -> list[int]:
+        found = set(self.always)
+        for token in set(_TOKEN.findall(target.lower())):
+            found.update(self.by_token.get(token, ()))
+        return sorted(found)
+
+    def _matches(self, i: int, target: str) -> bool:
+        expression = self.compiled.get(i)
+        if expression is None:
+            expression = self.compiled[i] = re.compile(self.rules[i].expression, re.S)
+        return expression.search(target) is not None
+
     def judge(self, target: str) -> tuple[str | None, str]:
-        candidates = set(self.always)
-        for token in set(_TOKEN.findall(target)):
-            candidates.update(self.by_token.get(token, ()))
-        hits = [i for i in sorted(candidates) if self.compiled[i].search(target)]
+        hits = [i for i in self.candidates(target) if self._matches(i, target)]
         own = [i for i in hits if self.rules[i].host]
         if own:
             best = self.rules[max(own, key=lambda i: (len(self.rules[i].text), -i))]

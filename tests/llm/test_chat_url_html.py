@@ -68,6 +68,32 @@ def test_the_index_changes_no_verdict():
         assert url_filter.RuleIndex(rules, counts).judge(target) == url_filter.RuleIndex(rules, {}).judge(target)
 
 
+def test_a_hundred_thousand_rules_from_a_table(spark):
+    """Only a URL's own candidates run; verdicts are those of the few rules that can fit."""
+    rules = [("block", f"host{i}.example.net/{'a/' * (i % 3)}") for i in range(60_000)]
+    rules += [(None, f"scam{i} word{i % 7}") for i in range(40_000)] + [("allow", "example.net/"), ("allow", "HOST5.example.net/x")]
+    rules += [("block", ""), ("block", None), rules[0]]
+    read = url_filter.rules_from(spark.createDataFrame(rules, "verdict string, rule string"))
+    assert len(read) == 100_002
+    urls = {"http://host7.example.net/a/b": "block", "http://www.host7.example.net/": "allow", "http://other.example.net/": "allow",
+            "http://a.org/SCAM12-Word5/x": "block", "http://a.org/scam12-word6/x": "allow", "http://a.org/scam12": "allow",
+            "http://host6.example.net/": "block", "http://host6.example.net.org/": "allow", None: "allow"}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    judged, col = url_filter.judge(df, read)
+    assert {r["url"]: r[col]["verdict"] for r in judged.collect()} == urls
+    index = url_filter.RuleIndex(read, {})
+    assert max(len(index.candidates(f"host{i}.example.net/a/a/")) for i in range(0, 60_000, 997)) < 50
+    assert len(index.compiled) == 0 and index.judge("host7.example.net/a/b")[1] == "block" and len(index.compiled) < 50
+
+
+def test_words_match_in_any_case():
+    index = url_filter.RuleIndex([url_filter.pattern_rule("Free", "money"), url_filter.host_rule("allow", "example.org/Free/")], {})
+    assert index.judge("a.example/FREE--Money/")[1] == "block"
+    assert index.judge("a.example/freemoney/")[1] == "allow"
+    assert index.judge("example.org/Free/money") == ("example.org/Free/", "allow")
+    assert index.judge("example.org/free/money") == (None, "block")
+
+
 def page(n, paragraphs, extra=""):
     body = "".join(f"<p>{p}" + ("</p>" if n % 2 else "") for p in paragraphs)
     return (f'<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body>'
