@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.session import checkpoint_dir
+
 # Ranges of the order column, and sampled order values for each.
 RANGES = 128
 SAMPLE_PER_RANGE = 32
@@ -55,6 +57,9 @@ def running_sums(per: DataFrame, value: str, order: str, out: str, by: Sequence[
     NULL order values come first and NULL values are skipped, as in SQL; a sum over NULLs alone is NULL.
     """
     by = list(by)
+    # Three looks at the sums (sample, ranges, running): computed once, so the facts below are read once.
+    checkpoint_dir(per.sparkSession)
+    per = per.checkpoint(eager=True)
     splitters = _sampled_splitters(per, order, ranges)
     ranged = per.withColumn("__range", _range_of(F.col(order), splitters))
     inside = Window.partitionBy(*by, "__range").orderBy(F.col(order).asc_nulls_first())
