@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import fresh, named
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Bounds of the per-worker caches (entries, characters of a cached piece).
-CACHE_ENTRIES = 300_000
+# Bounds of a worker's caches: estimated bytes of all of them together, characters of a cached piece.
+CACHE_BYTES = 64 << 20
 CACHE_CHARS = 48
-PAIR_ENTRIES = 1_000_000
-BATCH_BYTES = 8 << 20
+# Estimated bytes of an entry beside its own content (objects and place in the table).
+ENTRY_BYTES, PAIR_BYTES = 130, 110
+# Texts that are Python objects at a time.
+TEXTS_AT_ONCE = 256
 
 # A blank between two visible characters.
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -145,15 +147,29 @@ class Encoder:
         words = [(b, i) for i, b in texts.items() if len(b) == 1 or i in self.halves]
         self.automaton = SuffixAutomaton(words)
         self.tested: dict[int, bool] = {}
+        self.words: dict[str, list[int]] = {}
         self.added = {a["content"]: a["id"] for a in parts["added_tokens"]}
         texts |= {i: t.encode() for t, i in self.added.items()}
         self.texts = [texts.get(i, b"") for i in range(max(texts) + 1)]
-        self.words: dict[str, list[int]] = {}
         self.split_added = re.compile("(" + "|".join(
             re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.plain = _Pieces(self, "")
         self.spaced = _Pieces(self, " ")
+        self.held = 0
+        self.old_words: dict[str, list[int]] = {}
+        self.old_tested: dict[int, bool] = {}
+
+    def hold(self, size: int) -> None:
+        """Counts ``size`` more bytes of cache.  When half the bound is reached, what is held becomes the older
+        half and the older half goes; entries that are met again move to the younger one."""
+        self.held += size
+        if self.held > CACHE_BYTES // 2:
+            self.old_words, self.words = self.words, {}
+            self.old_tested, self.tested = self.tested, {}
+            for pieces in (self.plain, self.spaced):
+                pieces.age()
+            self.held = size
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the text of ``a`` followed by that of ``b`` gives just these two tokens."""
@@ -173,11 +189,8 @@ class Encoder:
 
     def word(self, text: str) -> list[int]:
         """The ids of one word, by the last token of each of its prefixes."""
-        known = self.words.get(text)
-        if known is not None:
-            return known
         data = text.encode()
-        auto, tested = self.automaton, self.tested
+        auto = self.automaton
         step, link, length, chains = auto.next, auto.link, auto.length, auto.chains
         last = [-1] * (len(data) + 1)
         back = [0] * (len(data) + 1)
@@ -196,11 +209,9 @@ class Encoder:
                     continue
                 if size < end:
                     pair = last[end - size] << 32 | token
-                    fits = tested.get(pair)
+                    fits = self.tested.get(pair)
                     if fits is None:
-                        if len(tested) >= PAIR_ENTRIES:
-                            tested.clear()
-                        fits = tested[pair] = self.compatible(last[end - size], token)
+                        fits = self._fits(pair, last[end - size], token)
                     if not fits:
                         continue
                 last[end], back[end] = token, end - size
@@ -211,19 +222,34 @@ class Encoder:
             ids.append(last[at])
             at = back[at]
         ids.reverse()
-        if len(text) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[text] = ids
+        return ids
+
+    def _fits(self, pair: int, a: int, b: int) -> bool:
+        """``compatible``, remembered."""
+        fits = self.old_tested.get(pair)
+        if fits is None:
+            fits = self.compatible(a, b)
+        self.hold(PAIR_BYTES)
+        self.tested[pair] = fits
+        return fits
+
+    def _part(self, text: str) -> list[int]:
+        """``word``, remembered: parts of pieces, such as stops and words before them, come again."""
+        ids = self.words.get(text)
+        if ids is None:
+            ids = self.old_words.get(text) or self.word(text)
+            if len(text) <= CACHE_CHARS:
+                self.hold(ENTRY_BYTES + len(text) + 24 * len(ids))
+                self.words[text] = ids
         return ids
 
     def piece(self, text: str) -> bytes:
         """The ids (little-endian, 32 bits each) of a text that holds no added token."""
         found = self.pattern.findall(text)
-        if len(found) == 1:
+        if len(found) == 1:       # held as a piece
             ids = self.word(text)
         else:
-            ids = [i for w in found for i in self.word(w)]
+            ids = [i for w in found for i in self._part(w)]
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
@@ -252,19 +278,23 @@ class Encoder:
 
 
 class _Pieces(dict):
-    """Encoded pieces by their text without the prefix; forgets everything when full."""
+    """Encoded pieces by their text without the prefix; the encoder bounds them."""
 
     def __init__(self, encoder: Encoder, prefix: str) -> None:
         super().__init__()
         self.encoder, self.prefix = encoder, prefix
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, text: str) -> bytes:
         if not text or text[0].isspace() or text[-1].isspace():
             raise _LooseBlank
-        ids = self.encoder.piece(self.prefix + text)
+        ids = self.old.get(text) or self.encoder.piece(self.prefix + text)
         if len(text) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+            self.encoder.hold(ENTRY_BYTES + len(text) + len(ids))
             self[text] = ids
         return ids
 
@@ -288,9 +318,12 @@ def tokens(text: Column, spec: str) -> Column:
     @F.arrow_udf("ids binary, decoded string")
     def encoded(texts: pa.Array) -> pa.Array:
         model = encoder(spec)
-        ids = [model.encode(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array([model.decode(i) for i in ids], pa.string())], fields=list(kind))
+        parts = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            ids = [model.encode(t) for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist()]
+            parts.append(pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array([model.decode(i) for i in ids], pa.string())], fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return encoded(F.coalesce(text, F.lit("")))
 

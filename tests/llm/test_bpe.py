@@ -68,11 +68,22 @@ def test_suffix_automaton_reports_every_word():
 def test_small_caches_change_nothing(encoder, monkeypatch):
     text = "The quick brown fox, the lazy dog; don't stop. " * 5
     want = encoder.encode(text)
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 2)
-    monkeypatch.setattr(bpe, "PAIR_ENTRIES", 2)
-    for cache in (encoder.words, encoder.plain, encoder.spaced, encoder.tested):
-        cache.clear()
-    assert encoder.encode(text) == want
+    for bound in (0, 2_000, 20_000):
+        monkeypatch.setattr(bpe, "CACHE_BYTES", bound)
+        for cache in (encoder.words, encoder.plain, encoder.spaced, encoder.tested):
+            cache.clear()
+        for _ in range(3):
+            assert encoder.encode(text) == want
+
+
+def test_caches_stay_in_their_bound(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100_000)
+    rng = random.Random(8)
+    for _ in range(300):
+        encoder.encode(" ".join("".join(rng.choices("abcdefgh", k=6)) + rng.choice(["", ",", "."]) for _ in range(40)))
+        entries = sum(map(len, (encoder.words, encoder.old_words, encoder.plain, encoder.plain.old, encoder.spaced,
+                                encoder.spaced.old)))
+        assert entries * bpe.ENTRY_BYTES + (len(encoder.tested) + len(encoder.old_tested)) * bpe.PAIR_BYTES < 110_000
 
 
 def test_frame(docs):
