@@ -8,12 +8,16 @@ whose ids hash lowest (a fixed, order-free choice).  Feature counts over the
 sample are a Spark aggregate; at most ``MAX_FEATURES`` features that are
 associated with the toxic label (log-likelihood ratio) are kept, and only the
 rows' indices of those reach the driver, so what it gathers is bounded.
-Copies and near-copies in the sample (rows that share a band of min-hashes with
-one of a smaller id) are left out first: a page copied a hundred times would
-make all of its words look like evidence.
+Near-copies in the sample are left out first, since a page copied a hundred
+times would make all of its words look like evidence: a row goes when a row of
+its own class with a smaller id, the first of one of its bands of min-hashes,
+shares 0.8 of their five-word shingles.  Of rows that share an id the one with
+the least text counts.
 
 *Grades*: the labels say toxic or not.  Toxic rows are graded 1, 2 or 3 by
-terciles of their number of associated features; clean rows are grade 0.
+terciles of the evidence that the *other* half of the sample gives against them
+(log odds of their features there), so a row's grade does not come from its own
+label or from the weights that are fitted to it; clean rows are grade 0.
 
 *Model*: ``P(grade <= k) = sigmoid(threshold_k - w x)``.  One weight vector is
 shared by all grades, thresholds are ordered by construction; fitted by Adam
@@ -50,6 +54,8 @@ MAX_FEATURES = 2_048
 MIN_ROWS = 6               # sample rows that a feature must occur in
 MIN_ASSOCIATION = 30.0     # log-likelihood ratio that a feature must reach
 BANDS, BAND_ROWS = 6, 3    # min-hashes that tell copies in the sample
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+ROWS_AT_ONCE = 64
 BEGINNINGS = (4, 5, 6)
 GRADES = 4
 CACHE_ENTRIES = 300_000
@@ -80,28 +86,46 @@ class Model:
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     rows: int) -> DataFrame:
-    """(doc, toxic, features) of at most ``rows`` labelled documents of each class."""
+    """(doc, toxic, features) of at most ``rows`` labelled documents of each class, one row for each id."""
     known = (labels.filter(named(id_col).isNotNull() & named(label_col).isNotNull())
              .groupBy(named(id_col).alias("doc")).agg(F.max((named(label_col) > 0).cast("int")).alias("toxic")))
     lots = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc"), "doc").limit(rows) for c in (0, 1)]
+    kind = pa.struct([("features", pa.list_(pa.string())), ("bands", pa.list_(pa.int64())),
+                      ("shingles", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("features array<string>, bands array<bigint>")
+    @F.arrow_udf("features array<string>, bands array<bigint>, shingles array<bigint>")
     def present(texts: pa.Array) -> pa.Array:
-        found = [sorted({f for w in set(t.lower().split()) for f in features(w)}) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(found, type=pa.list_(pa.string())),
-                                           pa.array([bands(f) for f in found], type=pa.list_(pa.int64()))],
-                                          names=["features", "bands"])
+        # a few rows at a time: as Python objects, a batch's features take ten times its size
+        parts = [pa.array([described(t) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()], kind)
+                 for at in range(0, len(texts), ROWS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     chosen = F.broadcast(lots[0].unionByName(lots[1]))   # at most 2 x rows ids
+    # of the rows that share an id the least text stands for all, before anything is gathered
     sample = shared(docs.select(named(id_col).alias("doc"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-                    .join(chosen, "doc").select("doc", "toxic", present("text").alias("p"))
-                    .select("doc", "toxic", "p.features", "p.bands"))
-    band = sample.select("doc", F.explode("bands").alias("band"))
-    first = band.groupBy("band").agg(F.min("doc").alias("first"))
-    copies = band.join(first, "band").filter("doc > first").select("doc").distinct()
+                    .join(chosen, "doc").groupBy("doc", "toxic").agg(F.min("text").alias("text"))
+                    .select("doc", "toxic", present("text").alias("p")).select("doc", "toxic", "p.*"))
+    band = sample.select("doc", "toxic", F.explode("bands").alias("band"))
+    first = band.groupBy("toxic", "band").agg(F.min("doc").alias("first"))
+    # Bands only propose: a row is a copy of its band's first row where their five-word shingles agree by 0.8.
+    pairs = band.join(first, ["toxic", "band"]).filter("doc > first").select("doc", "first").distinct()
+    texts = sample.select("doc", "shingles")
+    both = (pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("first"), F.col("shingles").alias("others")),
+                                          "first"))
+    shared_part = F.size(F.array_intersect("shingles", "others"))
+    copies = both.filter(shared_part >= COPY_SIMILARITY * F.size(F.array_union("shingles", "others"))).select("doc").distinct()
     return shared(sample.join(copies, "doc", "left_anti").select("doc", "toxic", "features"))
 
 
+def described(text: str) -> dict:
+    """Features of a text, the bands of their min-hashes, and the hashes of its five-word shingles."""
+    words = text.lower().split()
+    found = sorted({f for w in set(words) for f in features(w)})
+    shingles = {" ".join(words[i:i + COPY_WORDS]) for i in range(max(1, len(words) - COPY_WORDS + 1))}
+    return {"features": found, "bands": bands(found),
+            "shingles": sorted(xxhash.xxh64_intdigest(s) >> 1 for s in shingles)}
+
+
 def bands(names: list[str]) -> list[int]:
     """Digests of groups of min-hashes: sets that are nearly equal share one almost surely."""
     if not names:
@@ -144,14 +168,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows_at = np.array([i for i, r in enumerate(table) for _ in r["features"]], dtype=np.int64)
     cols_at = np.array([at[f] for r in table for f in r["features"]], dtype=np.int64)
     toxic = np.array([r["toxic"] for r in table])
-    burden = np.bincount(rows_at, minlength=len(table))
-    terciles = np.quantile(burden[(toxic == 1) & (burden > 0)], [1 / 3, 2 / 3]) if names else [1, 2]
-    grade = np.where(toxic == 1, 1 + (burden > terciles[0]) + (burden > terciles[1]), 0)
+    evidence = _evidence(rows_at, cols_at, toxic, np.arange(len(table)) % 2, len(names))
+    terciles = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + (evidence > terciles[0]) + (evidence > terciles[1]), 0)
     weights, thresholds = _fit_cumulative(rows_at, cols_at, grade, len(names))
     chance = 1 / (1 + np.exp(thresholds[0] - np.bincount(rows_at, weights[cols_at], minlength=len(table))))
     return Model(dict(zip(names, weights.tolist())), tuple(thresholds.tolist()), _cut(chance, toxic))
 
 
+def _evidence(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, fold: np.ndarray, width: int) -> np.ndarray:
+    """The sum of the log odds of each row's features, estimated on the rows of the other fold."""
+    out = np.zeros(len(toxic))
+    for own in (0, 1):
+        others = fold[rows] != own
+        odds = np.zeros(width)
+        for label, sign in ((1, 1), (0, -1)):
+            n = np.sum((fold != own) & (toxic == label))
+            held = np.bincount(cols[others & (toxic[rows] == label)], minlength=width)
+            odds += sign * np.log((held + 0.5) / (n + 1.0))
+        mine = fold[rows] == own
+        out += np.bincount(rows[mine], odds[cols[mine]], minlength=len(toxic))
+    return out
+
+
 def _cut(chance: np.ndarray, toxic: np.ndarray) -> float:
     """The midpoint between chances where the classes' hit rates differ most."""
     levels = np.unique(chance)

@@ -79,3 +79,46 @@ def test_the_fit_is_a_minimum_of_the_penalised_likelihood():
             moved = theta.copy()
             moved[i] += step
             assert loss(w, theta) < loss(w, moved)
+
+
+def test_near_copies_are_verified_within_their_class(spark, docs):
+    """Shared vocabulary is no copy; nine tenths of the shingles are; other classes and other ids' rows stay."""
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in ("lor", "mip", "sun") for b in ("dol", "ter", "ga") for c in ("ben", "ki", "ru")]
+    base = rng.choices(words, k=200)
+    shuffled = rng.sample(base, len(base))
+    near = [*base[:100], "changed", *base[101:]]
+    rows = [(1, " ".join(base)), (2, " ".join(shuffled)), (3, " ".join(near)), (4, " ".join(base)), (5, " ".join(base)),
+            (6, "short text"), (7, "short text"), (8, None), (9, "")]
+    rows += [(1, " ".join(base) + " longer")] * 50                     # rows that share an id
+    labels = [(i, 1, int(i == 5)) for i in range(1, 10)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(docs(rows), frame, "doc_id", "text", "toxic", 100).collect()
+    assert len(sample) == len({r["doc"] for r in sample})
+    # 3 and 4 copy 1, 7 copies 6; 2 has the same words in another order; 5 is of the other class
+    assert sorted(r["doc"] for r in sample) == [1, 2, 5, 6, 8, 9]
+
+
+def test_the_sample_is_bounded_when_ids_repeat(spark, docs):
+    rows = [(1, f"toxic text number {i}") for i in range(3000)] + [(2, "clean words of another kind")]
+    frame = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(docs(rows), frame, "doc_id", "text", "toxic", 50).collect()
+    assert sorted((r["doc"], r["toxic"]) for r in sample) == [(1, 1), (2, 0)]
+
+
+def test_evidence_comes_from_the_other_fold():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 6)) < 0.3
+    toxic = (x[:, 0] | x[:, 1]).astype(int)
+    rows, cols = np.nonzero(x)
+    fold = np.arange(400) % 2
+    got = toxicity._evidence(rows, cols, toxic, fold, 6)
+    for i in (0, 7, 250):
+        others = fold != fold[i]
+        odds = [np.log((x[others & (toxic == 1), j].sum() + 0.5) / (np.sum(others & (toxic == 1)) + 1))
+                - np.log((x[others & (toxic == 0), j].sum() + 0.5) / (np.sum(others & (toxic == 0)) + 1)) for j in range(6)]
+        assert np.isclose(got[i], sum(o for o, has in zip(odds, x[i]) if has))
+    # a row's own label does not move its evidence
+    flipped = toxic.copy()
+    flipped[7] = 1 - flipped[7]
+    assert got[7] == toxicity._evidence(rows, cols, flipped, fold, 6)[7]
