@@ -34,11 +34,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import fresh, named
+from ledgerlake.llm.common import fresh, keep, named
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Bounds of a worker's caches: estimated bytes of all of them together, characters of a cached piece.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 192 << 20
 CACHE_CHARS = 48
 # Estimated bytes of an entry beside its own content (objects and place in the table).
 ENTRY_BYTES, PAIR_BYTES = 130, 110
@@ -305,6 +305,7 @@ _loaded: dict[bytes, Encoder] = {}
 def encoder(spec: str) -> Encoder:
     """The encoder of a vocabulary, built once in each worker process."""
     key = hashlib.sha256(spec.encode()).digest()
+    keep("bpe", _loaded.clear)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Encoder(spec)

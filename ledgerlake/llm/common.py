@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,23 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
+# What operators keep in a Python worker between tasks: name -> how to forget it.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def make_room(owner: str = "") -> None:
+    """Forgets what operators other than ``owner`` keep in this worker.  Workers outlive their stage; without
+    this an encoder's tables would stay in memory under every later stage of the same session."""
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
+
+
+def keep(owner: str, forget: Callable[[], object]) -> None:
+    """Says that ``owner`` keeps tables in this worker, which ``forget`` drops; others' go first."""
+    make_room(owner)
+    _kept[owner] = forget
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; the workers of ``spark`` get this package on their path."""
     paths = spark.sparkContext.environment

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.bpe import PATTERN, byte_alphabet
-from ledgerlake.llm.common import fresh, named, shared, stored
+from ledgerlake.llm.common import fresh, keep, named, shared, stored
 
 HOT_PAIRS = 1_000_000
 # Bits of a pair's key that hold the second tokenizer's id.
@@ -220,6 +220,7 @@ _loaded: dict[str, Aligner] = {}
 def aligner(spec_a: str, model_b: str) -> Aligner:
     """The aligner of two models (texts; the second in base 64), built once in each worker process."""
     key = f"{hash(spec_a)} {hash(model_b)}"
+    keep("cross_align", _loaded.clear)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Aligner(ByteLevel(spec_a), Pieces(base64.b64decode(model_b)))

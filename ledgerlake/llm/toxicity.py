@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import fresh, named, shared
+from ledgerlake.llm.common import fresh, make_room, named, shared
 
 SAMPLE_ROWS = 2_500        # labelled rows of each class in the training sample
 MAX_FEATURES = 2_048
@@ -95,6 +95,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     @F.arrow_udf("features array<string>, bands array<bigint>, shingles array<bigint>")
     def present(texts: pa.Array) -> pa.Array:
+        make_room()
         # a few rows at a time: as Python objects, a batch's features take ten times its size
         parts = [pa.array([described(t) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()], kind)
                  for at in range(0, len(texts), ROWS_AT_ONCE)]
@@ -252,6 +253,7 @@ def severity(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("severity double, p_toxic double, grade int, rejected boolean")
     def judged(texts: pa.Array) -> pa.Array:
+        make_room()
         present = [set().union(*map(known.__getitem__, set(t.lower().split()))) for t in texts.to_pylist()]
         score = np.array([sum(sorted(model.weights[f] for f in p)) for p in present])
         if model.thresholds:

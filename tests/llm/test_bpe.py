@@ -91,3 +91,18 @@ def test_frame(docs):
     got = sorted((r["doc_id"] or 0, len(r[col]["ids"]) // 4, r[col]["decoded"]) for r in df.collect())
     assert got == [(0, 0, ""), (1, 2, "hi there"), (1, 2, "hi there"), (3, 0, "")]
     assert bpe.encode(docs([]).limit(0), PATH)[0].count() == 0
+
+
+def test_workers_keep_one_operator_s_tables():
+    from ledgerlake.llm import common
+    spec = open(PATH, encoding="utf-8").read()
+    bpe.encoder(spec)
+    assert bpe._loaded and "bpe" in common._kept
+    common.keep("bpe", bpe._loaded.clear)
+    assert bpe._loaded
+    other = {"x": 1}
+    common.keep("other", other.clear)
+    assert not bpe._loaded and other and list(common._kept) == ["other"]
+    common.make_room()
+    assert not other and not common._kept
+    assert ids(bpe.encoder(spec).encode("hello")) == [31373]
