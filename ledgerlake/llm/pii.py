@@ -14,10 +14,10 @@ long digit runs.
 groups, separators, checksum) and of the context (neighbouring characters, cue words before the span).
 Its labels come from planting: into each of at most ``SAMPLE_DOCS`` documents
 (those whose ids hash lowest) a few made-up personal data and as many look-alikes
-(order numbers, ISBNs, versions, time stamps) are written at random places, some
+(order numbers, ISBNs, digests, long numbers that fail the Luhn test) are written at random places, some
 after a cue word and some not, so that no feature gives the label.  Spans that
-equal one of a format count as personal too; other candidates of the documents
-themselves are unlabelled and left out.  Of at most ``SAMPLE_SPANS`` spans two
+equal one of a format count as personal too, candidates that touch a labelled
+span without being it as not; the documents' other candidates are left out.  Of at most ``SAMPLE_SPANS`` spans two
 thirds fit the trees; on the rest the score is calibrated by a logistic curve,
 the threshold is the lowest probability at which precision reaches
 ``PRECISION``, and the model keeps the precision and recall measured there.
@@ -36,7 +36,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,8 +175,13 @@ def _impersonal(rng: random.Random) -> tuple[str, str]:
     """(words before, a number that is nobody's)."""
     def d(n: int) -> str:
         return "".join(rng.choices("0123456789", k=n))
+    long = d(rng.randint(14, 19))
+    if luhn(long):              # one digit more makes it no card number
+        long = long[:-1] + str((int(long[-1]) + 1) % 10)
+    grouped = " ".join(long[i:i + 4] for i in range(0, len(long), 4))
     body = rng.choice([d(rng.randint(7, 13)), d(rng.randint(7, 13)), f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)} {d(4)}", f"20{d(2)}-{d(6)}",
-                       f"{d(2)}-{d(2)}-{d(4)}-{d(2)}", f"1{d(9)}", f"{d(5)}-{d(5)}"])
+                       f"{d(2)}-{d(2)}-{d(4)}-{d(2)}", f"1{d(9)}", f"{d(5)}-{d(5)}", long, long, grouped,
+                       "".join(rng.choices("0123456789abcdef", (3,) * 10 + (1,) * 6, k=40))])
     return rng.choice(["order", "invoice", "lot", "no.", "part", "isbn", "page", "ticket", "version", "call number", "account page",
                        "", ""]), body
 
@@ -199,6 +204,15 @@ def planted(text: str) -> tuple[str, dict[tuple[int, int], int]]:
     return "".join(out) + (" " if not text[at:].startswith(" ") else "") + text[at:], labels
 
 
+def _label(span: tuple[int, int], labels: dict[tuple[int, int], int], known: list[tuple[int, int]]) -> int | None:
+    """1 or 0 for a known span, 0 for one that touches a known span without being it (a part of it, or too long),
+    None for what nobody labelled.  ``known`` are the labelled spans, which do not overlap."""
+    if span in labels:
+        return labels[span]
+    i = bisect_left(known, (span[1], -1)) - 1           # the last one that starts before the span ends
+    return 0 if i >= 0 and known[i][1] > span[0] else None
+
+
 @dataclass(frozen=True)
 class Trees:
     """Boosted regression trees of depth two: (feature, cut) at the root and below, four leaves."""
@@ -281,9 +295,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         rows = []
         for own in texts.to_pylist():
             t, labels = planted(own)
-            labels |= {s[:2]: 1 for s in formats(t) if s[:2] not in labels}
-            rows.append([{"x": [float(v) for v in features(t, s)], "y": labels[s[:2]]}
-                         for s in candidates(t) if s[:2] in labels])
+            apart = _Cover([(*s, "") for s in sorted(labels)])
+            labels |= {s[:2]: 1 for s in formats(t) if apart.add(s[0], s[1])}
+            known = sorted(labels)
+            judged = ((s, _label(s[:2], labels, known)) for s in candidates(t))
+            rows.append([{"x": [float(v) for v in features(t, s)], "y": y} for s, y in judged if y is not None])
         return pa.array(rows, pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("y", pa.int32())])))
 
     ids = (docs.filter(named(id_col).isNotNull()).select(named(id_col).alias("doc")).distinct()

@@ -140,6 +140,7 @@ def test_without_examples_only_the_formats_count(docs):
 
 def test_planted_labels_are_where_they_say():
     rng = random.Random(9)
+    seen = 0
     for _ in range(400):
         text = rng.choice(["", "one", sentence(rng), "a  b " * 30 + sentence(rng), " \n "])
         full, labels = pii.planted(text)
@@ -150,9 +151,10 @@ def test_planted_labels_are_where_they_say():
             rest += full[at:a]
             at = b
             assert full[a:b] == full[a:b].strip() and any(c.isalnum() for c in full[a:b])
-        assert sum(s in proposed for s in labels) >= 3
+        seen += sum(s in proposed for s in labels)      # all but the digests
         words = (rest + full[at:]).split()
         assert all(w in words for w in text.split())
+    assert seen > 0.9 * 400 * pii.PLANTED
 
 
 def test_held_out_precision_and_recall(docs):
