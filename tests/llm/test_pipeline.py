@@ -73,11 +73,11 @@ def test_queries_match_their_oracle(spark, key):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "decontamination", "bpe"]
 
 
-@pytest.mark.parametrize("key", ["op9_decontaminate", "op10_exact_dedup"])
+@pytest.mark.parametrize("key", ["op9_decontaminate", "op10_exact_dedup", "op13_shards"])
 def test_native_operators_run_no_python(spark, key):
     plan = queries.QUERIES[key](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan)
