@@ -467,8 +467,9 @@ _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 
 
 def _nine():
-    units = (F.col("l_partkey") * 7919 + F.col("l_linenumber")).cast("decimal(9,0)")
-    return (units * F.lit(Decimal("0.000000001"))).cast("decimal(18,9)")
+    """``_NINE`` for every part key: the statement's DECIMAL(9,0) ends at part 126,278; these types hold any BIGINT."""
+    units = F.col("l_partkey").cast("decimal(19,0)") * F.lit(Decimal(7919)) + F.col("l_linenumber")
+    return (units * F.lit(Decimal("0.000000001"))).cast("decimal(25,9)")
 
 
 @q("a_sum_exact", f"""SELECT l_suppkey, CAST(SUM(CAST({_PRICE} + {_NINE} AS DECIMAL(28,9))) AS VARCHAR) AS total,
